@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import mixing, secrets
+from quillgraph.llm import licenses, mixing, secrets
 from quillgraph.llm.common import table
 
 
@@ -10,10 +10,14 @@ def op5_mix_sources(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_ledger(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op5_mix_sources, op7_license_scan, op10_secret_ledger)}
 
 ORACLE_SQL = {"op10_secret_ledger": secrets.oracle()}
