@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import licenses, mixing, secrets
+from quillgraph.llm import licenses, line_quality, mixing, secrets, toxicity
 from quillgraph.llm.common import table
 
 
+def op1_line_quality(spark, sf_dir):
+    return line_quality.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mix_sources(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -18,6 +26,6 @@ def op10_secret_ledger(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op7_license_scan, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op1_line_quality, op5_mix_sources, op6_toxicity, op7_license_scan, op10_secret_ledger)}
 
 ORACLE_SQL = {"op10_secret_ledger": secrets.oracle()}
