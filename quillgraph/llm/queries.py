@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import licenses, line_quality, mixing, packing, secrets, toxicity
+from quillgraph.llm import licenses, line_quality, mixing, neighbours, packing, secrets, toxicity
 from quillgraph.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_line_quality(spark, sf_dir):
     return line_quality.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_prefix_forest(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_sum_of_squares_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,6 @@ def op10_secret_ledger(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op4_sum_of_squares_packing, op5_mix_sources, op6_toxicity, op7_license_scan, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op1_line_quality, op3_prefix_forest, op4_sum_of_squares_packing, op5_mix_sources, op6_toxicity, op7_license_scan, op10_secret_ledger)}
 
 ORACLE_SQL = {"op10_secret_ledger": secrets.oracle()}
