@@ -98,9 +98,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard: int = 8192,
     some = usable(vectors)
     total = some.count()
     shards, blocks = max(1, -(-total // shard)), max(1, -(-total // (every * block)))
-    cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     index = some.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("block", cells(blocks))
-    asked = some.filter(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", cells(shards).cast("bigint"))
+    asked = some.filter(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))).withColumn("shard", cells(shards))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
