@@ -91,6 +91,8 @@ def mixture_slots(targets: DataFrame, block: int = 128, shard_slots: int = 65536
     drawn = drawn.withColumn("offset", F.coalesce(F.sum("count").over(running), F.lit(0)))
     room = F.greatest(F.lit(0).cast("long"), F.least(F.col("count"), F.col("n_blocks") * most - F.col("offset")))
     drawn = drawn.withColumn("count", room).filter(F.col("count") > 0)
+    # few rows that become many: deal them out before they do
+    drawn = drawn.repartition("skey", "shard")
     slots = drawn.select("skey", "shard", "n_blocks", "offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("slot"))
     at, n = F.col("offset") + F.col("slot"), F.col("n_blocks")
     return slots.select("skey", "shard", "slot", permuted(F.pmod(at, n), n, F.col("skey"), F.floor(at / n), F.lit(seed)).alias("block"))
@@ -120,7 +122,8 @@ def mix_sources(docs: DataFrame, block: int = 128, shard_slots: int = 65536, buc
     targets = written(source_targets(sized))
     rows = placed(sized, buckets, seed)
     times = mixture_slots(targets, block, shard_slots, seed=seed).groupBy("skey", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = block_parts(rows, block).join(times, ["skey", "block"]).groupBy("rid").agg(F.sum(F.col("tokens") * F.col("times")).alias("taken"))
+    # both sides grow with the corpus, which the planner can't see behind explode
+    taken = block_parts(rows, block).join(times.hint("merge"), ["skey", "block"]).groupBy("rid").agg(F.sum(F.col("tokens") * F.col("times")).alias("taken"))
     per_source = targets.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))).select("skey", "source_size", "target")
     keyed = sized.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")))
     out = keyed.join(taken, "rid", "left").join(per_source, "skey", "left")
