@@ -79,9 +79,11 @@ def mixture_slots(targets: DataFrame, block: int = 128, shard_slots: int = 65536
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
     everything, upto = Window.partitionBy(), Window.orderBy(F.col("source").asc_nulls_last())
     t = targets.withColumn("skey", key).withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
-    t = t.withColumn("total", F.sum("target").over(everything))
-    t = t.withColumn("slots", F.ceil(F.col("total") / F.lit(block)).cast("long"))
-    t = t.withColumn("high", F.sum("target").over(upto) / F.col("total")).withColumn("low", F.coalesce(F.lag("high").over(upto), F.lit(0.0)))
+    # a source's last block may be short: its target in blocks counts by what a block of it holds on average
+    t = t.withColumn("wanted", F.when(F.col("source_size") > 0, F.col("target") * F.col("n_blocks") / F.col("source_size")).otherwise(F.lit(0.0)))
+    t = t.withColumn("total", F.sum("wanted").over(everything))
+    t = t.withColumn("slots", F.ceil(F.col("total")).cast("long"))
+    t = t.withColumn("high", F.sum("wanted").over(upto) / F.col("total")).withColumn("low", F.coalesce(F.lag("high").over(upto), F.lit(0.0)))
     t = t.filter((F.col("n_blocks") > 0) & (F.col("slots") > 0))
     shards = t.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("slots") / F.lit(shard_slots)).cast("long") - 1)).alias("shard"))
     m = F.least(F.lit(shard_slots).cast("long"), F.col("slots") - F.col("shard") * shard_slots)
