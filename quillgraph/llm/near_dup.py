@@ -7,7 +7,8 @@ from the start. Classes that share a table key are candidates; links are confirm
 
 Candidates come in rounds, so that large groups never make all their pairs: first every class meets the
 smallest leader of its buckets, then all leaders of its buckets that are still in another component, and at
-last, only in buckets that still hold several components, the classes of different components.
+last, only in buckets that still hold several components, those classes of different components that share
+enough shingles with others there to reach the similarity at all.
 """
 
 from __future__ import annotations
@@ -104,6 +105,28 @@ def _labelled(rows: DataFrame, comp: DataFrame, of: str, name: str) -> DataFrame
     return rows.join(known, of, "left").withColumn(name, F.coalesce(name, F.col(of)))
 
 
+def _able(rest: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """(id, shared) of the classes in `rest` that can still have a link there.
+
+    `shared` counts the shingles that a class of another component has too. No intersection across components
+    is larger, so a class with too few can't reach the similarity; copies that have been edited much drop out
+    here by counting, and more of them in a second round without the first ones.
+    """
+
+    def unpacked(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "shingle": [np.frombuffer(x, dtype=np.int64) for x in pdf["found"]]})
+
+    left = rest.select("id", "n", "c").distinct()
+    for _ in range(rounds):
+        some = sets.join(left.select("id"), "id", "left_semi").mapInPandas(unpacked, "id long, shingle array<long>")
+        each = written(some.join(left, "id").select("id", "n", "c", F.explode("shingle").alias("shingle")))
+        wide = each.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("shingle")
+        shared = each.join(wide, "shingle").groupBy("id", "n", "c").agg(F.count(F.lit(1)).alias("shared"))
+        left = written(shared.filter(100 * F.col("shared") >= percent * F.col("n")))
+    return left.select("id", "shared")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int, halves: int) -> DataFrame:
     """(id, component) of classes that have a link to another one."""
     close = lambda a, b: (F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b))
@@ -125,9 +148,13 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int,
 
     named = _labelled(members, comp, "id", "c")
     mixed_buckets = named.groupBy("table").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("table")
-    rest = named.join(mixed_buckets, "table").filter(F.col("id") != F.col("leader")).select("table", "id", "n", "c")
-    other = rest.select("table", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    pairs = rest.join(other, "table").filter((F.col("id") < F.col("b")) & (F.col("c") != F.col("cb")) & close(F.col("n"), F.col("nb")))
+    rest = written(named.join(mixed_buckets, "table").filter(F.col("id") != F.col("leader")).select("table", "id", "n", "c"))
+    able = _able(rest, sets, percent)
+    rest = rest.join(able, "id")
+    other = rest.select("table", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("shared").alias("shared_b"))
+    most = F.least("shared", "shared_b")
+    fits = (100 + percent) * most >= percent * (F.col("n") + F.col("nb"))
+    pairs = rest.join(other, "table").filter((F.col("id") < F.col("b")) & (F.col("c") != F.col("cb")) & fits)
     last = confirmed(pairs.select(F.col("id").alias("a"), "b").distinct(), sets, percent)
     return components(links.unionByName(last))
 
