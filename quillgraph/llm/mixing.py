@@ -130,3 +130,16 @@ def mix_sources(docs: DataFrame, block: int = 128, shard_slots: int = 65536, buc
     keyed = sized.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")))
     out = keyed.join(taken, "rid", "left").join(per_source, "skey", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+
+
+def mixed_documents(docs: DataFrame, block: int = 128, seed: int = 17) -> DataFrame:
+    """docs as often as the mix takes them: whole copies, 0 to 2 of each, in proportion to the words taken.
+
+    The fraction of a copy is decided by a hash of doc_id, so sources stay near their targets. Documents
+    without words are in no block and go.
+    """
+    mix = mix_sources(docs, block, seed=seed).groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("share"))
+    copies = F.floor(F.col("share") + unit_hash(F.col("doc_id"), F.lit(seed + 1))).cast("int")
+    taken = mix.filter(F.col("share") > 0).select(F.col("doc_id").alias("of"), copies.alias("copies")).filter("copies > 0")
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["of"]))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

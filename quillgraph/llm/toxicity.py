@@ -103,6 +103,23 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], bits: int = BITS, k
     return some.mapInPandas(run, f"{schema}, score double")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, bits: int = BITS, most: int = MAX_TRAIN, least: float = 0.5) -> DataFrame:
+    """docs without the rows that score `least` or more; all columns stay, texts are passed through one task."""
+    weights = train(training_rows(docs, labels, most), bits)
+    if not weights:
+        return docs
+    index, weight = np.array([i for i, _ in weights], dtype=np.int64), np.array([w for _, w in weights])
+    limit = np.log(least / (1 - least))
+
+    def run(batches):
+        dense, hashes = np.zeros((1 << bits) + 1), WordHashes(_normal)
+        dense[index] = weight
+        for pdf in batches:
+            yield pdf.loc[[dense[features(t, hashes, bits)].sum() < limit for t in pdf["text"]]]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, bits: int = BITS, most: int = MAX_TRAIN) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per input row.
 
