@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import licenses, line_dedup, line_quality, mixing, near_dup, neighbours, packing, secrets, toxicity
+from quillgraph.llm import licenses, line_dedup, line_quality, mixing, near_dup, neighbours, packing, secrets, suffix_dedup, toxicity
 from quillgraph.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_line_quality(spark, sf_dir):
     return line_quality.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_prefix_free_dedup(spark, sf_dir):
+    return suffix_dedup.removed_spans(table(spark, sf_dir, "documents"))
+
+
 def op3_prefix_forest(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -42,6 +46,6 @@ def op10_secret_ledger(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op3_prefix_forest, op4_sum_of_squares_packing, op5_mix_sources, op6_toxicity, op7_license_scan, op8_minhash_near_dup, op9_line_dedup, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_prefix_free_dedup, op3_prefix_forest, op4_sum_of_squares_packing, op5_mix_sources, op6_toxicity, op7_license_scan, op8_minhash_near_dup, op9_line_dedup, op10_secret_ledger)}
 
 ORACLE_SQL = {"op10_secret_ledger": secrets.oracle()}
