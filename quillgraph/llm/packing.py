@@ -90,13 +90,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     for i, size in enumerate(lengths.tolist()):
         gap = capacity
         if size < capacity:
-            # by the gap before: what its own term loses and what the term of the gap after gains
-            cost = count[: capacity - size] - count[size:capacity]
-            cost[1:] += 1
+            # how the sum changes, by the gap after: a bin leaves the gap before and joins the one after, if any
+            cost = 2 * (count[: capacity - size] - count[size:capacity]) + 2
+            cost[0] -= 1
             cost[count[size:capacity] == 0] = 1 << 60
             best = int(cost.argmin())
-            # a new bin costs 2 N(after) + 1, an old one twice its cost less that
-            if cost[best] < 1 << 59 and 2 * int(cost[best]) - (best == 0) * 1 + (0 if best else 1) <= 2 * int(count[capacity - size]) + 1:
+            if cost[best] <= 2 * int(count[capacity - size]) + 1:
                 gap = best + size
         if gap == capacity:
             b, made = made, made + 1
