@@ -6,9 +6,9 @@ the number of min-hashes is about the square root of what separate tables would
 from the start. Classes that share a table key are candidates; links are confirmed on full shingle sets.
 
 Candidates come in rounds, so that large groups never make all their pairs: first every class meets the
-smallest leader of its buckets, then all leaders of its buckets that are still in another component, and at
-last, only in buckets that still hold several components, those classes of different components that share
-enough shingles with others there to reach the similarity at all.
+smallest leader of its buckets, then all leaders of its buckets that are still in another component, then
+those members of its buckets that share most with the rest (what others are copies of), and at last, only in buckets that still hold several components, those pairs from different components that exact
+bounds, on shingles shared at all and on bitmaps of the sets, don't rule out.
 """
 
 from __future__ import annotations
@@ -72,15 +72,26 @@ def table_keys(halves: int) -> Column:
     )
 
 
+def _bits(s: np.ndarray) -> np.ndarray:
+    """A set as 2048 bits, by the high bits of its hashes."""
+    bits = np.zeros(32, dtype=U64)
+    at = s >> U64(53)
+    np.bitwise_or.at(bits, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
+    return bits.view(np.int64)
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, found: the sorted shingle hashes as bytes."""
+    """id, found: the sorted shingle hashes as bytes, bits: their bitmap."""
 
     def run(batches):
         hashes = WordHashes()
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["doc_id"], "found": [shingles(t, hashes, width).tobytes() for t in pdf["text"]]})
+            for k in range(0, len(pdf), 1000):
+                part = pdf.iloc[k : k + 1000]
+                sets = [shingles(t, hashes, width) for t in part["text"]]
+                yield pd.DataFrame({"id": part["doc_id"], "found": [s.tobytes() for s in sets], "bits": [_bits(s) for s in sets]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "id long, found binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "id long, found binary, bits array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -127,10 +138,32 @@ def _able(rest: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) -> Da
     return left.select("id", "shared")
 
 
+def _open(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """table, at, id, n, c, shared: what buckets with several components hold of classes that can still be linked."""
+    for_now = _labelled(members, comp, "id", "c")
+    mixed_buckets = for_now.groupBy("table").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("table")
+    rest = written(for_now.join(mixed_buckets, "table").select("table", "at", "id", "n", "c"))
+    return rest.join(_able(rest, sets, percent), "id")
+
+
+def _first_table(halves: int) -> Column:
+    """Whether no earlier table than `at` holds both classes: so that a pair comes up once."""
+    i, j = (F.col("at") / halves).cast("int"), F.col("at") % halves
+    same = lambda start, n: F.exists(F.zip_with(F.slice("sketch", start, n), F.slice("sketch_b", start, n), lambda x, y: x == y), lambda x: x)
+    return ~same(F.lit(1), i) & ~same(F.lit(halves + 1), j)
+
+
+def _bits_allow(percent: int) -> Column:
+    """An exact bound: a set lacks at least as many of the other's shingles as its bitmap lacks bits."""
+    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c)
+    most = F.least(F.col("n") - lacks("bits", "bits_b"), F.col("n_b") - lacks("bits_b", "bits"))
+    return (100 + percent) * most >= percent * (F.col("n") + F.col("n_b"))
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int, halves: int) -> DataFrame:
     """(id, component) of classes that have a link to another one."""
     close = lambda a, b: (F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b))
-    keyed = classes.select("id", F.col("n_shingles").alias("n"), F.explode(table_keys(halves)).alias("table"))
+    keyed = classes.select("id", F.col("n_shingles").alias("n"), F.posexplode(table_keys(halves)).alias("at", "table"))
     buckets = keyed.groupBy("table").agg(F.min(F.struct("id", "n")).alias("leader"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
     members = written(keyed.join(buckets.select("table", F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n")), "table"))
     needed = members.select("id").distinct()
@@ -146,16 +179,18 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int,
     links = written(links.unionByName(confirmed(open_led, sets, percent)))
     comp = written(components(links))
 
-    named = _labelled(members, comp, "id", "c")
-    mixed_buckets = named.groupBy("table").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("table")
-    rest = written(named.join(mixed_buckets, "table").filter(F.col("id") != F.col("leader")).select("table", "id", "n", "c"))
-    able = _able(rest, sets, percent)
-    rest = rest.join(able, "id")
-    other = rest.select("table", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("shared").alias("shared_b"))
-    most = F.least("shared", "shared_b")
-    fits = (100 + percent) * most >= percent * (F.col("n") + F.col("nb"))
-    pairs = rest.join(other, "table").filter((F.col("id") < F.col("b")) & (F.col("c") != F.col("cb")) & fits)
-    last = confirmed(pairs.select(F.col("id").alias("a"), "b").distinct(), sets, percent)
+    fits = lambda other, n: (100 + percent) * F.least("shared", other) >= percent * (F.col("n") + n)
+    rest = written(_open(members, comp, sets, percent))
+    lead = rest.groupBy("table").agg(F.max(F.struct("shared", (-F.col("id")).alias("minus"), "n", "c")).alias("l"))
+    led = rest.join(lead, "table").filter((F.col("c") != F.col("l.c")) & fits(F.col("l.shared"), F.col("l.n")))
+    links = written(links.unionByName(confirmed(led.select((-F.col("l.minus")).alias("a"), F.col("id").alias("b")).distinct(), sets, percent)))
+    comp = written(components(links))
+
+    rest = written(_open(members, comp, sets, percent).join(classes.select("id", "sketch"), "id").join(sets.select("id", "bits"), "id"))
+    other = rest.select("table", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "c", "shared", "sketch", "bits")])
+    across = (F.col("id") < F.col("id_b")) & (F.col("c") != F.col("c_b")) & fits(F.col("shared_b"), F.col("n_b"))
+    pairs = rest.join(other, "table").filter(across & _first_table(halves) & _bits_allow(percent))
+    last = confirmed(pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")), sets, percent)
     return components(links.unionByName(last))
 
 
