@@ -23,7 +23,7 @@ def built(spark):
 
 def test_build(built):
     ids = {r.id for r in built["entities"].collect()}
-    assert {"NAME_marie_curie", "PHRASE_radium_institute", "NAME_ada_lovelace"} <= ids
+    assert {"NAME_marie_curie", "PHRASE_radium_institute", "NAME_charles_babbage"} <= ids
     assert all(r.a < r.b for r in built["edges"].collect())
     levels = {r.level for r in built["reports"].collect()}
     assert 0 in levels and all(r.member_count > 0 for r in built["reports"].collect())
