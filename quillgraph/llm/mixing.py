@@ -93,8 +93,8 @@ def mixture_slots(targets: DataFrame, block: int = 128, shard_slots: int = 65536
     drawn = drawn.withColumn("offset", F.coalesce(F.sum("count").over(running), F.lit(0)))
     room = F.greatest(F.lit(0).cast("long"), F.least(F.col("count"), F.col("n_blocks") * most - F.col("offset")))
     drawn = drawn.withColumn("count", room).filter(F.col("count") > 0)
-    # few rows that become many: deal them out before they do
-    drawn = drawn.repartition("skey", "shard")
+    # few rows that become many: deal them out before they do, in a number that isn't coalesced by their size now
+    drawn = drawn.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "skey", "shard")
     slots = drawn.select("skey", "shard", "n_blocks", "offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("slot"))
     at, n = F.col("offset") + F.col("slot"), F.col("n_blocks")
     return slots.select("skey", "shard", "slot", permuted(F.pmod(at, n), n, F.col("skey"), F.floor(at / n), F.lit(seed)).alias("block"))
