@@ -1,7 +1,7 @@
 """License scans with a positional index of rare words (native).
 
-The notices below are indexed by word: (notice, place, weight). A file's highest-IDF licence words are looked
-up in that index; postings whose place in the file minus place in the notice agree support one alignment of
+The notices below are indexed by word: (notice, place, weight). All places of a file's licence words are looked
+up in that index, as a notice counts by its whole indexed weight; postings whose place in the file minus place in the notice agree support one alignment of
 the notice. An alignment counts when its share of the notice's indexed weight is high enough and the file
 holds one of the notice's mandatory key phrases. IDF comes from all documents.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import written
@@ -95,10 +95,10 @@ def tokenised(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def aligned(files: DataFrame, n_files: int, rare: int = 64, least: float = 0.7) -> DataFrame:
+def aligned(files: DataFrame, n_files: int, least: float = 0.7) -> DataFrame:
     """(rid, label, score): notices that a file holds by position, with the share of indexed weight that agrees.
 
-    A file looks up its `rare` highest-IDF licence word places; the index is the constant table of this module.
+    A file looks up all its licence word places; the index is the constant table of this module.
     """
     spark = files.sparkSession
     words = files.select("rid", F.explode("hits").alias("hit")).select("rid", "hit.word", "hit.place")
@@ -108,15 +108,12 @@ def aligned(files: DataFrame, n_files: int, rare: int = 64, least: float = 0.7)
     index = index.join(F.broadcast(df), "word", "left").withColumn("idf", idf)
     mass = index.groupBy("notice").agg(F.sum("idf").alias("mass"))
     index = index.join(F.broadcast(mass), "notice").select("label", "notice", "word", "at", "idf", "mass")
-    by_word = index.select("word", "idf").distinct()
-    top = F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("idf"), "place"))
-    looked = words.join(F.broadcast(by_word), "word").withColumn("top", top).filter(F.col("top") <= rare).select("rid", "word", "place")
-    votes = looked.join(F.broadcast(index), "word").groupBy("rid", "label", "notice", (F.col("place") - F.col("at")).alias("shift"))
+    votes = words.join(F.broadcast(index), "word").groupBy("rid", "label", "notice", (F.col("place") - F.col("at")).alias("shift"))
     scored = votes.agg((F.sum("idf") / F.first("mass")).alias("score")).filter(F.col("score") >= least)
     return scored.groupBy("rid", "label").agg(F.max("score").alias("score"))
 
 
-def scan_licenses(docs: DataFrame, rare: int = 64, least: float = 0.7) -> DataFrame:
+def scan_licenses(docs: DataFrame, least: float = 0.7) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row per input row.
 
     Null and empty texts have no words and score 0; rows repeated with one doc_id each get their row; an
@@ -125,7 +122,7 @@ def scan_licenses(docs: DataFrame, rare: int = 64, least: float = 0.7) -> DataFr
     files = written(tokenised(docs).withColumn("rid", F.monotonically_increasing_id()))
     required = files.sparkSession.createDataFrame([(k, p) for k, (_, ps) in NOTICES.items() for p in ps], "label string, key string")
     verified = files.select("rid", F.explode("keys").alias("key")).join(F.broadcast(required), "key").select("rid", "label").distinct()
-    found = aligned(files, files.count(), rare, least).join(verified, ["rid", "label"])
+    found = aligned(files, files.count(), least).join(verified, ["rid", "label"])
     found = found.groupBy("rid").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
     places = F.array_sort(F.concat(*[f"at_{i}" for i in range(len(BASE_PHRASES))]))
     base = F.array_compact(F.array(*[F.when(F.size(f"at_{i}") > 0, F.lit(v)) for i, v in enumerate(BASE_PHRASES.values())]))
