@@ -76,7 +76,8 @@ def _placed(phrase: str) -> Column:
 
 
 def tokenised(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One narrow row per file: n_words, the base phrases' places, licence words with places, key phrases found.
+    """One narrow row per file: n_words, distinct licence words, the base phrases' places, key phrases found, and
+    licence words with places if an anchor is there.
 
     Lower-casing beyond A-Z changes no comparison, as every word compared is ASCII.
     """
@@ -89,6 +90,7 @@ def tokenised(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return words.select(
         key,
         F.size("words").cast("long").alias("n_words"),
+        F.array_intersect("words", F.array(*map(F.lit, VOCABULARY))).alias("distinct"),
         *[_placed(p).alias(f"at_{i}") for i, p in enumerate(BASE_PHRASES)],
         F.when(F.col("some"), hits).otherwise(F.array().cast("array<struct<word:string,place:int>>")).alias("hits"),
         keys.alias("keys"),
@@ -102,7 +104,8 @@ def aligned(files: DataFrame, n_files: int, least: float = 0.7) -> DataFrame:
     """
     spark = files.sparkSession
     words = files.select("rid", F.explode("hits").alias("hit")).select("rid", "hit.word", "hit.place")
-    df = words.groupBy("word").agg(F.count_distinct("rid").alias("df"))
+    # of all files, those without an anchor too
+    df = files.select(F.explode("distinct").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(n_files + 1.0) / (F.coalesce(F.col("df"), F.lit(0)) + 1)) + F.lit(1.0)
     index = spark.createDataFrame(_index_rows(), "label string, notice int, word string, at int")
     index = index.join(F.broadcast(df), "word", "left").withColumn("idf", idf)
