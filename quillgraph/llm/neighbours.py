@@ -20,11 +20,14 @@ TREES, SYMBOLS = 40, 6
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding (doubles), dim of vectors that aren't null, empty, zero or without finite components."""
+    """vec_id, embedding (doubles), dim of vectors that aren't null, empty, zero or without finite components.
+
+    Rows repeated with one vec_id and vector are one.
+    """
     e = F.col("embedding").cast("array<double>")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     some = vectors.select("vec_id", e.alias("embedding")).filter(F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists(e, lambda x: x != 0), F.lit(False)))
-    return some.withColumn("dim", F.size("embedding"))
+    return some.dropDuplicates(["vec_id", "embedding"]).withColumn("dim", F.size("embedding"))
 
 
 def _codes(x: np.ndarray, trees: int, symbols: int, seed: int) -> np.ndarray:
@@ -47,7 +50,11 @@ def _codes(x: np.ndarray, trees: int, symbols: int, seed: int) -> np.ndarray:
 
 
 def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int = 20, want: int = 2048, trees: int = TREES, symbols: int = SYMBOLS, seed: int = 7) -> pd.DataFrame:
-    """query_id, vec_id, score: the k best candidates of each query within one shard, ties to smaller vec_id."""
+    """query_id, vec_id, score: the k best candidates of each query within one shard, ties to smaller vec_id.
+
+    An id with several vectors is one candidate, with its best score.
+    """
+    alone = len(np.unique(ids)) == len(ids)
     dim = x.shape[1]
     bits = max(1, int(2 * dim - 1).bit_length())
     symbols = min(symbols, dim, 63 // bits)
@@ -72,7 +79,7 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
                 for t in range(trees):
                     marked[order[t, low[depth, t, i] : high[depth, t, i]]] = True
                 some = np.flatnonzero(marked & (ids != query_ids[i]))
-                if len(some) >= k:
+                if (len(some) if alone else len(np.unique(ids[some]))) >= k:
                     found = some
                     break
         if found is None:
@@ -80,10 +87,13 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
         if not len(found):
             continue
         near = x[found] @ q[i]
-        if len(found) > k:
+        if len(found) > k and alone:
             found = found[near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-9 * max(1.0, np.abs(near).max())]
         exact = (x[found] * q[i]).sum(axis=1)
-        best = np.lexsort((ids[found], -exact))[:k]
+        best = np.lexsort((ids[found], -exact))
+        if not alone:
+            best = best[np.sort(np.unique(ids[found[best]], return_index=True)[1])]
+        best = best[:k]
         rows.append(pd.DataFrame({"query_id": query_ids[i], "vec_id": ids[found[best]], "score": exact[best]}))
     return pd.concat(rows) if rows else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
@@ -92,7 +102,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard: int = 8192,
     """query_id, rank, vec_id, score: for each vec_id divisible by `every`, its k nearest others.
 
     Unusable vectors (see `usable`) neither ask nor answer; vectors of different lengths never meet; rows
-    repeated with one vec_id and vector count once; a query alone has no rows; an empty table gives none; other
+    repeated with one vec_id and vector count once; a vec_id with several vectors counts by the best; a query alone has no rows; an empty table gives none; other
     columns are ignored.
     """
     some = usable(vectors)

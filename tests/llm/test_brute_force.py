@@ -141,6 +141,24 @@ def test_prefix_forest_recall(spark, sf_dir):
     assert max(r["rank"] for r in rows) == 20 and all(r.query_id % 20 == 0 and r.query_id != r.vec_id for r in rows)
 
 
+def test_prefix_forest_counts_repeated_rows_once(spark):
+    rng = random.Random(3)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(8)]
+    rows = [(i, vector()) for i in range(60)] * 2
+    rows += [(100, [2.0 * x for x in rows[0][1]])] * 30  # nearest to 0, stored often
+    rows += [(101, [x * (3 + j / 100) for x in rows[20][1]]) for j in range(30)]  # one id, many vectors
+    want = []
+    for query in (0, 20, 40, 100):
+        score = {}
+        for _, q in [r for r in rows if r[0] == query]:
+            for i, x in rows:
+                if i != query:
+                    score[i] = max(score.get(i, -1e9), sum(a * b for a, b in zip(x, q)))
+        want += [(query, k + 1, i) for k, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:20])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
+    assert [tuple(r)[:3] for r in got] == want
+
+
 def test_packing_round_trip(docs, texts):
     tokenizers = pytest.importorskip("tokenizers")
     places = pytest.importorskip("public_tokenizers")
