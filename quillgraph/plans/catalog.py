@@ -308,16 +308,36 @@ def onehop_names(spark, sf_dir):
 @query(f"with {_SCO}, {_BOTH} select x.b as middle, y.b as far from bo x join bo y on x.b = y.a where x.a = 1 and y.b <> 1 and x.b <= 5")
 def two_hop_paths(spark, sf_dir):
     e = G.both_ways(G.co_occurrences(supplier_mentions(spark, sf_dir)))
-    one = e.filter("a = 1 and b <= 5").select(F.col("b").alias("middle"))
+    return two_hops(e.filter("a = 1 and b <= 5"), e)
+
+
+def two_hops(first: DataFrame, e: DataFrame) -> DataFrame:
+    """middle, far: the edges of `first`, all from node 1, carried on by edges that don't lead back."""
+    one = first.select(F.col("b").alias("middle"))
     return one.join(e.select(F.col("a").alias("middle"), F.col("b").alias("far")), "middle").filter("far <> 1")
 
 
+@query(ORACLE_SQL["two_hop_paths"].replace(" and x.b <= 5", ""))
+def two_hop_paths_whole(spark, sf_dir):
+    e = G.both_ways(G.co_occurrences(supplier_mentions(spark, sf_dir)))
+    return two_hops(e.filter("a = 1"), e)
+
+
 @query(f"with {_SCO}, {_BOTH}, z as (select 0 as hops, 1::bigint as node union all select 1, b from bo where a = 1 and b % 7 = 0 union all select 2, y.b from bo x join bo y on x.b = y.a where x.a = 1 and x.b % 7 = 0 and y.b % 7 = 0 and y.b <> x.a) select node, min(hops) as hops from z group by 1")
 def quantified_path_0_2(spark, sf_dir):
-    e = G.both_ways(G.co_occurrences(supplier_mentions(spark, sf_dir))).filter("b % 7 = 0")
+    return within_two_hops(G.both_ways(G.co_occurrences(supplier_mentions(spark, sf_dir))).filter("b % 7 = 0"))
+
+
+@query(ORACLE_SQL["quantified_path_0_2"].replace(" and b % 7 = 0", "").replace(" and x.b % 7 = 0 and y.b % 7 = 0", ""))
+def quantified_path_0_2_whole(spark, sf_dir):
+    return within_two_hops(G.both_ways(G.co_occurrences(supplier_mentions(spark, sf_dir))))
+
+
+def within_two_hops(e: DataFrame) -> DataFrame:
+    """node, hops: nodes that at most two of the edges lead to from node 1."""
     one = e.filter("a = 1").select(F.lit(1).alias("hops"), F.col("b").alias("node"))
     two = one.select(F.col("node").alias("a")).join(e, "a").filter("b <> 1").select(F.lit(2).alias("hops"), F.col("b").alias("node"))
-    zero = spark.range(1, 2).select(F.lit(0).alias("hops"), F.col("id").alias("node"))
+    zero = e.sparkSession.range(1, 2).select(F.lit(0).alias("hops"), F.col("id").alias("node"))
     return zero.unionByName(one).unionByName(two).groupBy("node").agg(F.min("hops").alias("hops"))
 
 
@@ -425,7 +445,15 @@ def adjacent_level_pairs(spark, sf_dir):
 
 @query(f"with {_MEM} select count(distinct s_suppkey) as entities, count(distinct entity) as covered, count(distinct community) as communities from supplier left join mem on s_suppkey = entity and cid % 2 = 0")
 def entity_coverage(spark, sf_dir):
-    m = memberships(spark, sf_dir).filter("cid % 2 = 0")
+    return covered(spark, sf_dir, memberships(spark, sf_dir).filter("cid % 2 = 0"))
+
+
+@query(ORACLE_SQL["entity_coverage"].replace(" and cid % 2 = 0", ""))
+def entity_coverage_whole(spark, sf_dir):
+    return covered(spark, sf_dir, memberships(spark, sf_dir))
+
+
+def covered(spark, sf_dir, m: DataFrame) -> DataFrame:
     s = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long"))
     return s.join(m, F.col("s_suppkey") == F.col("entity"), "left").agg(F.count_distinct("s_suppkey").alias("entities"), F.count_distinct("entity").alias("covered"), F.count_distinct("community").alias("communities"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import columns as C
 from quillgraph.operators import graph as G
 from quillgraph.operators.chunking import chunks
-from quillgraph.plans.catalog import _MEM, _CO, memberships, part_mentions, query, t
+from quillgraph.plans.catalog import _MEM, _CO, ORACLE_SQL, memberships, part_mentions, query, t
 
 _DOCS = "d as (select doc_id, text, coalesce(length(text), 0) // 4 as tokens from documents)"
 _LOW = "abcdefghijklmnopqrstuvwxyz"
@@ -132,7 +132,15 @@ def budget_bins(spark, sf_dir):
     union all select * from (select 'text_unit', c::varchar, min(o) from (select distinct l_orderkey as c, l_partkey as e from lineitem) join pick using (e) group by c order by min(o), c limit 10)"""
 )
 def local_context_rows(spark, sf_dir):
-    p = t(spark, sf_dir, "part").filter("p_partkey <= 40")
+    return context_rows(spark, sf_dir, t(spark, sf_dir, "part").filter("p_partkey <= 40"))
+
+
+@query(ORACLE_SQL["local_context_rows"].replace(" where p_partkey <= 40", ""))
+def local_context_rows_whole(spark, sf_dir):
+    return context_rows(spark, sf_dir, t(spark, sf_dir, "part"))
+
+
+def context_rows(spark, sf_dir, p: DataFrame) -> DataFrame:
     pick = p.select(F.col("p_partkey").cast("long").alias("entity"), F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("o"))
     ends = G.co_occurrences(part_mentions(spark, sf_dir)).withColumn("entity", F.explode(F.array("a", "b")))
     links = ends.join(pick, "entity", "left_semi").select("a", "b", "n").distinct().orderBy(F.desc("n"), "a", "b").limit(10)
@@ -372,7 +380,16 @@ def json_points(spark, sf_dir):
     select id, round(score + 5 * coalesce(i.d, 0) + 2 * coalesce(o.d, 0), 6) as rank, tokens from a left join i using (id) left join o using (id) order by 2 desc, 1 limit 12"""
 )
 def action_ranking(spark, sf_dir):
-    a = t(spark, sf_dir, "events").filter("event_id < 300").select(F.col("event_id").alias("id"), F.floor(F.col("event_id") / 3).alias("parent"), F.col("value").alias("score"), (4 * F.length("event_type")).alias("tokens"))
+    return ranked_actions(t(spark, sf_dir, "events").filter("event_id < 300"))
+
+
+@query(ORACLE_SQL["action_ranking"].replace(" where event_id < 300", ""))
+def action_ranking_whole(spark, sf_dir):
+    return ranked_actions(t(spark, sf_dir, "events"))
+
+
+def ranked_actions(events: DataFrame) -> DataFrame:
+    a = events.select(F.col("event_id").alias("id"), F.floor(F.col("event_id") / 3).alias("parent"), F.col("value").alias("score"), (4 * F.length("event_type")).alias("tokens"))
     e = a.filter("id <> parent")
     into = e.groupBy("id").agg(F.count(F.lit(1)).alias("i"))
     out = e.groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("o"))
@@ -386,6 +403,29 @@ def report_folds(spark, sf_dir):
     return d.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
 
 
+@query(ORACLE_SQL["report_folds"].replace(" where doc_id < 100", ""))
+def report_folds_whole(spark, sf_dir):
+    return folds(t(spark, sf_dir, "documents"), 5)
+
+
+def folds(docs: DataFrame, k: int, span: int = 65536) -> DataFrame:
+    """fold, n, first: k folds in order of doc_id, sized as by ntile.
+
+    Places come from counts of the documents in each span of ids, so that no task sorts the whole table.
+    """
+    d = docs.select("doc_id", F.floor(F.col("doc_id") / span).alias("part"))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    starts = sizes.withColumn("start", F.coalesce(F.sum("size").over(upto), F.lit(0))).drop("size")
+    total = sizes.agg(F.sum("size").alias("total"))
+    place = F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1
+    placed = d.join(F.broadcast(starts), "part").withColumn("place", place).crossJoin(F.broadcast(total))
+    small, more = F.expr(f"total div {k}"), F.col("total") % k
+    # the first `more` folds hold one document more
+    fold = F.when(F.col("place") < more * (small + 1), F.floor(F.col("place") / (small + 1))).otherwise(more + F.floor((F.col("place") - more * (small + 1)) / small)) + 1
+    return placed.select(fold.cast("int").alias("fold"), "doc_id").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+
+
 @query("with f as (select left(md5(string_agg(doc_id || ':' || n_chars, '|' order by doc_id)), 12) as signature from documents) select signature from f")
 def corpus_signature(spark, sf_dir):
     # one short line per document, at the size of a corpus listing, as the signature's definition demands
