@@ -112,6 +112,19 @@ def rich_patterns(text) -> Column:
     return F.array_join(F.concat(caps, quoted, bullets), " | ")
 
 
+#: What Python's \s and \b mean, within Java's dialect.
+_SPACE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+_NOT_AFTER, _NOT_BEFORE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+
+def rich_patterns_any(text) -> Column:
+    """rich_patterns with word ends and white space as Unicode has them, for texts in any language."""
+    caps = F.slice(F.regexp_extract_all(text, F.lit(rf"{_NOT_AFTER}[A-Z]{{2,}}(?:{_SPACE}+[A-Z]{{2,}})*{_NOT_BEFORE}"), F.lit(0)), 1, 10)
+    quoted = F.slice(F.regexp_extract_all(text, F.lit(r'"([^"]{2,50})"'), F.lit(1)), 1, 5)
+    bullets = F.slice(F.regexp_extract_all(text, F.lit(rf"(?md)(?:^|\n){_SPACE}*[•\-*]{_SPACE}*([^\n]{{5,100}})"), F.lit(1)), 1, 8)
+    return F.array_join(F.concat(caps, quoted, bullets), " | ")
+
+
 def sample_key(text) -> Column:
     """First 8 hex digits of the MD5 of a text in lower case with single spaces."""
     return F.left(F.md5(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ").cast("binary")), F.lit(8))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,6 +205,13 @@ def pattern_extract(spark, sf_dir):
     return d.select("doc_id", C.rich_patterns(F.col("text")).alias("patterns"))
 
 
+@query()
+def pattern_extract_whole(spark, sf_dir):
+    # no SQL: word ends outside ASCII differ between regex dialects; a test holds it against Python's
+    d = t(spark, sf_dir, "documents").filter(F.col("text").rlike('[A-Z]{2,}|"'))
+    return d.select("doc_id", C.rich_patterns_any(F.col("text")).alias("patterns"))
+
+
 @query(r"with k as (select doc_id, left(md5(regexp_replace(lower(trim(text)), '\s+', ' ', 'g')), 8) as key from documents) select key, min(doc_id) as doc_id, count(*) as n from k group by 1")
 def sample_dedupe(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", C.sample_key(F.col("text")).alias("key")).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
@@ -279,10 +288,15 @@ def answer_pairs(spark, sf_dir) -> DataFrame:
 
     Every row but a conversation's last has one, so a window over the conversation pairs them without a join.
     """
+    return whole_pairs(spark, sf_dir).select("conv_id", "turn", *[F.left(x, F.lit(200)).alias(x) for x in ("truth", "pred")])
+
+
+def whole_pairs(spark, sf_dir) -> DataFrame:
+    """answer_pairs with whole texts."""
     c = t(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     nxt = c.withColumn("pred", F.lead("text").over(w)).withColumn("at", F.lead("turn").over(w)).filter("at = turn + 1")
-    return nxt.select("conv_id", "turn", F.left("text", F.lit(200)).alias("truth"), F.left("pred", F.lit(200)).alias("pred"))
+    return nxt.select("conv_id", "turn", F.col("text").alias("truth"), "pred")
 
 
 @query(f"with {_ANS} select conv_id, turn, array_to_string(tt, ' ') as answer from n")
@@ -321,6 +335,44 @@ def concise_answer(spark, sf_dir):
     return c.select("conv_id", "turn", C.short_answer(F.col("t")).alias("answer"))
 
 
+def _uncut(name: str) -> str:
+    """A query's SQL on whole texts."""
+    return re.sub(r"left\((u\.text|a\.text|text), (?:200|20 \+ \(turn % 3\) \* 40)\)", r"\1", ORACLE_SQL[name])
+
+
+@query(_uncut("normalise_answer"))
+def normalise_answer_whole(spark, sf_dir):
+    return whole_pairs(spark, sf_dir).select("conv_id", "turn", C.normal_answer(F.col("truth")).alias("answer"))
+
+
+@query(_uncut("exact_match"))
+def exact_match_whole(spark, sf_dir):
+    return whole_pairs(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.sum(C.exact_match(F.col("pred"), F.col("truth")).cast("long")).alias("matches"))
+
+
+@query(_uncut("token_f1"))
+def token_f1_whole(spark, sf_dir):
+    # counted by row and word: holding each word of a long text against all others takes too long
+    n = whole_pairs(spark, sf_dir).select("conv_id", "turn", F.monotonically_increasing_id().alias("rid"), *[C.words_of(C.normal_answer(F.col(x))).alias(x) for x in ("truth", "pred")])
+    tag = lambda mine: lambda w: F.struct(w.alias("w"), F.lit(mine).alias("mine"))
+    tagged = F.concat(F.transform("truth", tag(True)), F.transform("pred", tag(False)))
+    each = n.select("conv_id", "turn", "rid", (F.size("truth") + F.size("pred")).alias("size"), F.explode_outer(tagged).alias("x"))
+    words = each.groupBy("conv_id", "turn", "rid", "size", "x.w").agg(F.least(F.count_if("x.mine"), F.count_if(~F.col("x.mine"))).alias("shared"))
+    summed = words.groupBy("conv_id", "turn", "rid", "size").agg(F.sum("shared").alias("shared"))
+    return summed.select("conv_id", "turn", F.when(F.col("size") == 0, 1.0).otherwise(F.round(2 * F.col("shared") / F.col("size"), 6)).alias("f1"))
+
+
+@query(_uncut("context_recall"))
+def context_recall_whole(spark, sf_dir):
+    return whole_pairs(spark, sf_dir).select("conv_id", "turn", F.round(C.context_recall(F.col("truth"), F.col("pred")), 6).alias("recall"))
+
+
+@query(_uncut("concise_answer"))
+def concise_answer_whole(spark, sf_dir):
+    c = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim("text").alias("t"))
+    return c.select("conv_id", "turn", C.short_answer(F.col("t")).alias("answer"))
+
+
 # ---- latencies and tables of scores
 
 

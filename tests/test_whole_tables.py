@@ -2,9 +2,12 @@
 
 import collections
 import itertools
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillgraph.functions import columns as C
 from quillgraph.plans import catalog, catalog_text
 
 
@@ -45,3 +48,30 @@ def test_results_cover_the_tables(spark, sf_dir):
     count = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
     assert sum(n for _, n, _ in rows(spark, sf_dir, "report_folds_whole")) == count("documents")
     assert rows(spark, sf_dir, "entity_coverage_whole")[0][:2] == (count("supplier"),) * 2
+
+
+def patterns(text):
+    found = re.findall(r"\b[A-Z]{2,}(?:\s+[A-Z]{2,})*\b", text)[:10] + re.findall(r'"([^"]{2,50})"', text)[:5]
+    return " | ".join(found + re.findall(r"(?:^|\n)\s*[•\-*]\s*([^\n]{5,100})", text, re.MULTILINE)[:8])
+
+
+def test_patterns_of_every_document(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect() if r.text is not None}
+    want = {i: patterns(x) for i, x in docs.items() if re.search('[A-Z]{2,}|"', x)}
+    assert any(not docs[i].isascii() for i in want)
+    assert dict(rows(spark, sf_dir, "pattern_extract_whole")) == want
+
+
+@pytest.mark.parametrize("text", ["ÜBER BERÜ NASA\u00a0HQ é AB", 'die "größte Straße" ja', "x\u2028- no bullet here\n\u00a0• ein Punkt für alle", "ab² CD² EF_ GH\u0301 IJ"])
+def test_patterns_outside_ascii(spark, text):
+    assert spark.createDataFrame([(text,)], "t string").select(C.rich_patterns_any(F.col("t"))).first()[0] == patterns(text)
+
+
+def test_answers_read_whole_texts(spark, sf_dir):
+    turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text").collect()}
+    pairs = {k: (x, turns[k[0], k[1] + 1]) for k, x in turns.items() if (k[0], k[1] + 1) in turns}
+    bare = str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    words = lambda x: [w for w in re.split(r"[\t-\r ]+", x.lower().translate(bare)) if w not in ("", "a", "an", "the")]
+    assert any(len(x) > 200 for x, _ in pairs.values())
+    assert {(c, n): x for c, n, x in rows(spark, sf_dir, "normalise_answer_whole")} == {k: " ".join(words(x)) for k, (x, _) in pairs.items()}
+    assert rows(spark, sf_dir, "exact_match_whole") == [(len(pairs), sum(words(x) == words(y) for x, y in pairs.values()))]
