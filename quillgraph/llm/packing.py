@@ -49,14 +49,14 @@ class Encoder:
             path = public_tokenizers.path("byte_bpe_50k.json")
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {t["content"] for t in model["added_tokens"]}
+        special = {t["content"]: t["id"] for t in model["added_tokens"]}
         letter = _byte_of_letter()
         ranks = {bytes(letter[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-        self.encoding = tiktoken.Encoding("byte level", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("byte level", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=special)
         self.end = END_OF_TEXT.to_bytes(4, "little")
 
     def __call__(self, text: str | None) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text or ""), dtype="<u4").tobytes() + self.end
+        return np.array(self.encoding.encode(text or "", allowed_special="all"), dtype="<u4").tobytes() + self.end
 
 
 def cut(ids: bytes, capacity: int = CAPACITY) -> Iterator[tuple[int, int, int, int]]:

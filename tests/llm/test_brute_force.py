@@ -185,6 +185,17 @@ def test_packing_round_trip(docs, texts):
     assert len(bins) <= 1.06 * sum(r["length"] for r in rows) / 1024 + 2
 
 
+def test_added_tokens_are_one_id():
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    for text in ("one<|endoftext|>two", "<|endoftext|>", "a <|endoftext|> b\n<|endoftext|><|endoftext|>", "<|endoftext |>"):
+        got = np.frombuffer(packing.Encoder()(text), dtype="<u4").tolist()
+        assert got == [*model.encode(text, add_special_tokens=False).ids, packing.END_OF_TEXT]
+
+
 def test_sum_of_squares_is_the_best_place():
     import numpy as np
 
