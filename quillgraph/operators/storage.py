@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,13 +11,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where unset, as on one machine, a folder made for it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as spark.checkpoint.dir (or setCheckpointDir) names it.
+
+    Where neither is set, a folder is made only if driver and executors are one process; a cluster is refused.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
+    if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
     return context.getCheckpointDir()
 
 
