@@ -141,3 +141,48 @@ def short_answer(text) -> Column:
     yes, no = F.lower(first).contains("yes"), F.lower(first).contains("no")
     long = F.when(yes & ~no, "yes").when(no & ~yes, "no").otherwise(F.lower(F.left(first, F.lit(50))))
     return F.when(F.lower(trimmed).isin("yes", "no", "unknown", "true", "false"), F.lower(trimmed)).when(F.length(trimmed) < 50, F.lower(F.trim(clean))).otherwise(long)
+
+
+def text_units(text) -> Column:
+    """Paragraphs of over 50 characters; where there is none, sentences of over 20. White space at the ends goes."""
+    bare = lambda parts: F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    paragraphs = F.filter(bare(F.split(text, "\n\n")), lambda x: F.length(x) > 50)
+    sentences = F.filter(bare(F.split(text, "[.!?]+")), lambda x: F.length(x) > 20)
+    return F.when(F.size(paragraphs) > 0, paragraphs).otherwise(sentences)
+
+
+def clamped(score, low: float = 0.0, high: float = 100.0) -> Column:
+    return F.least(F.lit(high), F.greatest(F.lit(low), score))
+
+
+def embedding_text(name, description) -> Column:
+    """What an entity's vector is made of: its name and description in lower case, or the name alone."""
+    return F.when(F.length(description) > 0, F.lower(F.concat_ws(": ", name, description))).otherwise(name)
+
+
+#: Substrings of metric names, and the metric they mean. Fixed values.
+METRICS = {"response_relevancy": "response_relevancy", "answer_relevancy": "response_relevancy", "factual_correctness": "factual_correctness", "semantic_similarity": "semantic_similarity"}
+
+
+def metric_name(name) -> Column:
+    low = F.lower(name)
+    out = low
+    for part, metric in reversed(METRICS.items()):
+        out = F.when(F.contains(low, F.lit(part)), F.lit(metric)).otherwise(out)
+    return out
+
+
+def repaired_json(text) -> Column:
+    """The first JSON object or array of a model's text, mended; null where there is none. Arrow batches."""
+    from quillgraph.functions.jsonrepair import repaired_column
+
+    return repaired_column(text)
+
+
+def points(text) -> Column:
+    """array<struct<answer, score>> of a model's scored points; one empty point of score 0 if there are none."""
+    kind = "struct<points:array<struct<description:string,score:string>>>"
+    p = F.from_json(repaired_json(text), kind)["points"]
+    good = F.filter(p, lambda x: x["description"].isNotNull() & x["score"].try_cast("int").isNotNull())
+    none = F.array(F.struct(F.lit("").alias("answer"), F.lit(0).alias("score")))
+    return F.when(F.size(p) > 0, F.transform(good, lambda x: F.struct(x["description"].alias("answer"), x["score"].try_cast("int").alias("score")))).otherwise(none)

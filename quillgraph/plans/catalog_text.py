@@ -499,3 +499,4 @@ def cost_estimate(spark, sf_dir):
 
 
 from quillgraph.plans import catalog_engine  # noqa: E402, F401  (registers the queries of composite operators)
+from quillgraph.plans import catalog_more  # noqa: E402, F401  (registers scans, gates, samples and contexts)
