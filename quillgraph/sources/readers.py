@@ -100,24 +100,91 @@ def load_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _versions(spark: SparkSession, path: str):
+    """The file system of `path` and the numbers of the complete versions below it, ascending."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return fs, []
+    names = [s.getPath().getName() for s in fs.listStatus(where)]
+    numbers = sorted(int(n[2:]) for n in names if re.fullmatch(r"v=\d+", n))
+    return fs, [n for n in numbers if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/v={n}/_SUCCESS"))]
+
+
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A keyed state table; empty where nothing is stored yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+    """A keyed state table: its newest complete version; empty where nothing is stored yet."""
+    _, versions = _versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/v={versions[-1]}") if versions else spark.createDataFrame([], schema)
 
 
-def write_state(spark: SparkSession, path: str, new: DataFrame, key: str, order: str) -> DataFrame:
-    """Upsert by key. The old table is read into the new version before it is replaced."""
-    from quillgraph.operators.storage import saved
+def _next_version(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+    """df as the newest version; the one before stays, in case a reader still has it, older ones go."""
+    fs, versions = _versions(spark, path)
+    number = versions[-1] + 1 if versions else 0
+    df.write.mode("overwrite").parquet(f"{path}/v={number}")
+    for old in versions[:-1]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={old}"), True)
+    return spark.read.schema(df.schema).parquet(f"{path}/v={number}")
 
+
+def write_state(spark: SparkSession, path: str, new: DataFrame, key: str, order: str) -> DataFrame:
+    """Upsert by key into a new version; until that is complete, readers and a crash find the old one."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in new.schema.fields)
-    merged = saved(upserted(read_state(spark, path, schema), new, key, order))
-    merged.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return _next_version(spark, path, upserted(read_state(spark, path, schema), new, key, order))
+
+
+def delete_state(spark: SparkSession, path: str, schema: str, key: str | None = None, values: list | None = None) -> DataFrame:
+    """The state without the rows of some keys, or without any."""
+    now = read_state(spark, path, schema)
+    return _next_version(spark, path, now.filter(~F.col(key).isin(values)) if key and values else now.limit(0))
+
+
+# ---- the vector store: a table of texts with metadata and vectors
+
+
+def build_store(chunks: DataFrame, path: str) -> DataFrame:
+    """chunks (chunk_id, text, embedding and metadata) as the store at `path`, whatever was there before."""
+    chunks.write.mode("overwrite").parquet(path)
+    return chunks.sparkSession.read.parquet(path)
+
+
+def store_size(spark: SparkSession, path: str) -> int:
+    """Rows of a store; 0 where there is none."""
+    _, there = _exists(spark, path)
+    return spark.read.parquet(path).count() if there else 0
+
+
+def _exists(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.exists(where)
+
+
+def wiped(spark: SparkSession, root: str, names: list[str]) -> dict[str, int]:
+    """Tables `names` below `root` removed; what is left of each, 0 if all went well."""
+    for name in names:
+        fs, there = _exists(spark, f"{root}/{name}")
+        if there:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"), True)
+    return {name: store_size(spark, f"{root}/{name}") for name in names}
+
+
+def schema_problems(tables: dict[str, DataFrame], expected: dict[str, list[str]], keys: dict[str, str], dim: int) -> list[str]:
+    """What constraints and indexes would have found: missing tables and columns, repeated keys, wrong vectors."""
+    out = []
+    for name, columns in sorted(expected.items()):
+        if name not in tables:
+            out.append(f"{name}: missing")
+            continue
+        df = tables[name]
+        out += [f"{name}.{c}: missing" for c in columns if c not in df.columns]
+        key = keys.get(name)
+        if key in df.columns and unique_violations(df, key).take(1):
+            out.append(f"{name}.{key}: not unique")
+        if "embedding" in df.columns and wrong_dimensions(df, dim).take(1):
+            out.append(f"{name}.embedding: not of {dim} numbers")
+    return out
 
 
 def unique_violations(df: DataFrame, key: str) -> DataFrame:
@@ -135,6 +202,18 @@ def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(f"{path}/json")
 
 
+def write_run(scored: DataFrame, summary: DataFrame, comparison: DataFrame, root: str, at: str | None = None) -> str:
+    """A run's folder, named by its time: details by approach as CSV, the comparison as CSV, metrics as JSON."""
+    import datetime
+
+    path = f"{root}/run_{at or datetime.datetime.now(datetime.UTC).strftime('%Y%m%d_%H%M%S')}"
+    flat = scored.withColumn("retrieved_contexts", F.to_json("retrieved_contexts"))
+    flat.write.mode("overwrite").partitionBy("approach").option("header", True).csv(f"{path}/details")
+    comparison.write.mode("overwrite").option("header", True).csv(f"{path}/comparison")
+    summary.write.mode("overwrite").json(f"{path}/metrics")
+    return path
+
+
 def latency_report(rows: DataFrame) -> str:
     """A Markdown table of percentiles by implementation; a handful of rows."""
     q = lambda p: F.percentile("total_ms", F.lit(p))

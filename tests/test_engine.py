@@ -75,7 +75,12 @@ def test_sources_and_state(spark, tmp_path):
     state = str(tmp_path / "state")
     for value, at in (("one", 1), ("two", 2)):
         readers.write_state(spark, state, spark.createDataFrame([("k", value, at)], "key string, value string, at int"), "key", "at")
-    assert [tuple(r) for r in spark.read.parquet(state).collect()] == [("k", "two", 2)]
+    schema = "key string, value string, at int"
+    assert [tuple(r) for r in readers.read_state(spark, state, schema).collect()] == [("k", "two", 2)]
+    (tmp_path / "state/v=9").mkdir()  # a version that was never finished
+    assert readers.read_state(spark, state, schema).count() == 1
+    assert readers.delete_state(spark, state, schema, "key", ["other"]).count() == 1
+    assert readers.delete_state(spark, state, schema).count() == readers.read_state(spark, state, schema).count() == 0
     (tmp_path / "pdf").mkdir()
     (tmp_path / "pdf/a.PDF").write_bytes(b"hello")
     (tmp_path / "pdf/b.pdf").write_bytes(b" ")
@@ -91,8 +96,22 @@ def test_stream_ingests_and_resumes(spark, tmp_path):
     docs = spark.createDataFrame([(1, "some text"), (2, " ")], "doc_id long, text string")
     docs.write.parquet(source)
     ingest.ingest_stream(spark, source, target).awaitTermination()
-    assert [r.doc_id for r in spark.read.parquet(f"{target}/documents").collect()] == ["1"]
+    assert [r.doc_id for r in ingest.documents(spark, target).collect()] == ["1"]
+    assert [(r.doc_id, r.reason) for r in ingest.failures(spark, target).collect()] == [("2", "blank")]
     spark.createDataFrame([(1, "newer text"), (3, "third")], "doc_id long, text string").write.mode("append").parquet(source)
     ingest.ingest_stream(spark, source, target).awaitTermination()
-    assert {r.doc_id: r.text for r in spark.read.parquet(f"{target}/documents").collect()} == {"1": "newer text", "3": "third"}
+    assert {r.doc_id: r.text for r in ingest.documents(spark, target).collect()} == {"1": "newer text", "3": "third"}
+    assert {r.doc_id: r.text for r in ingest.chunks(spark, target).collect()} == {"1": "newer text", "3": "third"}
     assert ingest.remaining(docs, target).count() == 1
+
+
+def test_store_and_checks(spark, tmp_path):
+    store = spark.createDataFrame([("a", "x", [1.0, 0.0]), ("a", "y", [0.0, 1.0, 0.0])], "chunk_id string, text string, embedding array<double>")
+    path = str(tmp_path / "store")
+    assert readers.store_size(spark, path) == 0
+    readers.build_store(store, path)
+    readers.build_store(store, path)
+    assert readers.store_size(spark, path) == 2
+    found = readers.schema_problems({"store": store}, {"store": ["chunk_id", "doc_id"], "reports": ["id"]}, {"store": "chunk_id"}, 2)
+    assert found == ["reports: missing", "store.doc_id: missing", "store.chunk_id: not unique", "store.embedding: not of 2 numbers"]
+    assert readers.wiped(spark, str(tmp_path), ["store", "nothing"]) == {"store": 0, "nothing": 0}
