@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import small_batches
 from quillgraph.llm.words import WordHashes, joined
 
 SYMBOLS = b"#*$%&|<>"
@@ -120,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> tuple[li
             w, stay = fit(samples)
             yield pd.DataFrame({"at": range(len(w) + 2), "weight": w + stay})
 
-    found = dict(map(tuple, rows.repartition(1).mapInPandas(run, "at long, weight double").collect()))
+    found = dict(map(tuple, small_batches(rows).repartition(1).mapInPandas(run, "at long, weight double").collect()))
     if not found:
         return list(PRIOR.values()), [PRIOR_STAY, PRIOR_STAY]
     weights = [found[i] for i in range(len(found))]
@@ -168,7 +169,7 @@ def judge(docs: DataFrame, field: tuple[list[float], list[float]], least: float
             yield pd.concat([pdf, out], axis=1)
 
     out = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_boilerplate long, content_share double"
-    return docs.select(*keep, "text").mapInPandas(run, f"{schema}, {out}")
+    return small_batches(docs).select(*keep, "text").mapInPandas(run, f"{schema}, {out}")
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, most: int = MAX_TRAIN) -> DataFrame:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import small_batches, written
+
 CAPACITY = 1024
 END_OF_TEXT = 2
 
@@ -79,7 +81,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, k
             yield pd.DataFrame(rows, columns=[key, "rid", "piece", "start", "length", "ids_crc32"])
 
     numbered = docs.select(key, "text", F.monotonically_increasing_id().alias("rid"))
-    return numbered.mapInPandas(run, f"{key} long, rid long, piece int, start long, length long, ids_crc32 long")
+    return small_batches(numbered).mapInPandas(run, f"{key} long, rid long, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +145,6 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
     Null and empty texts are the end id alone; rows repeated with one doc_id, or without, are packed each; an
     empty table gives no rows; other columns are ignored.
     """
-    from quillgraph.llm.common import written
-
     n = docs.count()
     groups = max(1, -(-n // group_docs))
     sized = written(pieces(docs, capacity, path))

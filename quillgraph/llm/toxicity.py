@@ -7,11 +7,15 @@ pairs out of at most 2**bits, is what scoring tasks get.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import small_batches
 from quillgraph.llm.words import U64, WordHashes, joined, mixed
 
 BITS = 20
@@ -57,7 +61,7 @@ class Ftrl:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
-    """text, toxic of at most `most` labelled documents outside the held-out fifth, one label a document."""
+    """order, doc_id, text, toxic of at most `most` labelled documents outside the held-out fifth, one label a document."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).filter(~held_out())
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(most)
     # at most `most` rows of three numbers: small enough to send everywhere, so that no text is shuffled for it
@@ -72,52 +76,46 @@ def train(rows: DataFrame, bits: int = BITS, epochs: int = 2) -> list[tuple[int,
     """The non-zero weights; none if there are no rows. The rows are learnt in hash order, so reruns agree."""
 
     def fit(batches):
-        whole = pd.concat(list(batches) or [pd.DataFrame(columns=["order", "doc_id", "text", "toxic"])]).sort_values(["order", "doc_id", "text"])
-        if len(whole):
-            model, hashes = Ftrl(bits), WordHashes(_normal)
-            rows = [(features(t, hashes, bits).astype(np.int32), int(y)) for t, y in zip(whole.text, whole.toxic)]
+        hashes = WordHashes(_normal)
+        rows = []
+        for pdf in batches:  # texts go as soon as their features are known
+            rows += [(o, d, xxhash.xxh3_64_intdigest((t or "").encode()), features(t, hashes, bits).astype(np.int32), int(y)) for o, d, t, y in zip(pdf["order"], pdf["doc_id"], pdf["text"], pdf["toxic"])]
+        if rows:
+            model = Ftrl(bits)
+            rows.sort(key=lambda r: r[:3])
             for _ in range(epochs):
-                for index, label in rows:
+                for *_, index, label in rows:
                     model.learn(index, label)
             w = model.weights(slice(None))
             kept = np.flatnonzero(w)
             yield pd.DataFrame({"index": kept, "weight": w[kept]})
 
-    found = rows.repartition(1).mapInPandas(fit, "index long, weight double").toPandas()
+    found = small_batches(rows).repartition(1).mapInPandas(fit, "index long, weight double").toPandas()
     return list(zip(found["index"].tolist(), found["weight"].tolist()))
 
 
-def score(docs: DataFrame, weights: list[tuple[int, float]], bits: int = BITS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, score. Without any weight every score is 0. Null and empty texts score by the bias alone."""
-    index, weight = np.array([i for i, _ in weights], dtype=np.int64), np.array([w for _, w in weights])
+def scorer(weights: list[tuple[int, float]], bits: int = BITS):
+    """A function of the text column: its score. Without any weight every score is 0."""
+    index, weight = np.array([i for i, _ in weights], dtype=np.int32), np.array([w for _, w in weights], dtype=np.float32)
 
-    def run(batches):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         dense, hashes = np.zeros((1 << bits) + 1), WordHashes(_normal)
         dense[index] = weight
-        for pdf in batches:
-            total = np.array([dense[features(t, hashes, bits)].sum() for t in pdf.pop("text")], dtype=float)
-            yield pdf.assign(score=1 / (1 + np.exp(-total)) if len(index) else np.zeros(len(pdf)))
+        for texts in batches:
+            total = np.array([dense[features(t, hashes, bits)].sum() for t in texts], dtype=float)
+            yield pd.Series(1 / (1 + np.exp(-total)) if len(index) else np.zeros(len(texts)))
 
-    some = docs.select(*keep, "text")
-    schema = ", ".join(f"`{c}` {some.schema[c].dataType.simpleString()}" for c in keep)
-    return some.mapInPandas(run, f"{schema}, score double")
+    return F.pandas_udf(run, "double")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, bits: int = BITS, most: int = MAX_TRAIN, least: float = 0.5) -> DataFrame:
-    """docs without the rows that score `least` or more; all columns stay, texts are passed through one task."""
-    weights = train(training_rows(docs, labels, most), bits)
-    if not weights:
-        return docs
-    index, weight = np.array([i for i, _ in weights], dtype=np.int64), np.array([w for _, w in weights])
-    limit = np.log(least / (1 - least))
+    """docs without the rows that score `least` or more; all columns stay, whatever their names.
 
-    def run(batches):
-        dense, hashes = np.zeros((1 << bits) + 1), WordHashes(_normal)
-        dense[index] = weight
-        for pdf in batches:
-            yield pdf.loc[[dense[features(t, hashes, bits)].sum() < limit for t in pdf["text"]]]
-
-    return docs.mapInPandas(run, docs.schema)
+    Only texts go to Python and only scores come back. Without usable labels nothing is known and all rows stay;
+    null and empty texts score by the bias alone; repeated rows go or stay together; an empty table gives none.
+    """
+    weights = train(training_rows(docs, labels, most), bits)
+    return small_batches(docs).filter(scorer(weights, bits)("text") < least) if weights else docs
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, bits: int = BITS, most: int = MAX_TRAIN) -> DataFrame:
@@ -127,5 +125,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, bits: int = BITS, most:
     once counts as toxic if one label says so. Rows without doc_id are scored and not held out. An empty table
     gives no rows; other columns are ignored.
     """
-    scored = score(docs, train(training_rows(docs, labels, most), bits), bits)
+    score = scorer(train(training_rows(docs, labels, most), bits), bits)
+    scored = small_batches(docs).select("doc_id", score("text").alias("score"))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -12,7 +12,7 @@ MIX_A, MIX_B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 class WordHashes(dict):
     """Word (bytes) to a 64-bit hash of its normal form, computed once per word; forgets all when full."""
 
-    def __init__(self, normal=None, most: int = 400_000):
+    def __init__(self, normal=None, most: int = 100_000):
         super().__init__()
         self.normal, self.most = normal, most
 
