@@ -56,6 +56,17 @@ def token_f1(prediction, truth) -> Column:
     return F.when(none, F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(2 * both / (F.size(p) + F.size(t)))
 
 
+def long_token_f1(prediction, truth) -> Column:
+    """token_f1 of texts of any length: words are counted in Arrow batches, as counting each word of one array in
+    another takes the square of its length and a shuffle would move every word."""
+    from quillgraph.functions.wordcounts import shared_words
+
+    p, t = normal_answer(prediction), normal_answer(truth)
+    n = lambda x: F.size(words_of(x))
+    total = n(p) + n(t)
+    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * shared_words(p, t) / total)
+
+
 def exact_match(prediction, truth) -> Column:
     return (normal_answer(prediction) == normal_answer(truth)).cast("double")
 
@@ -104,27 +115,24 @@ def improvement_percent(base, other) -> Column:
     return F.when(base > 0, (other - base) / base * 100)
 
 
-def rich_patterns(text) -> Column:
-    """Runs of capitals (10), quoted spans (5) and bullet lines (8) of a text, joined by bars."""
-    caps = F.slice(F.regexp_extract_all(text, F.lit(r"\b[A-Z]{2,}(?:\s+[A-Z]{2,})*\b"), F.lit(0)), 1, 10)
-    quoted = F.slice(F.regexp_extract_all(text, F.lit(r'"([^"]{2,50})"'), F.lit(1)), 1, 5)
-    bullets = F.slice(F.regexp_extract_all(text, F.lit(r"(?m)(?:^|\n)\s*[•\-*]\s*([^\n]{5,100})"), F.lit(1)), 1, 8)
-    return F.array_join(F.concat(caps, quoted, bullets), " | ")
-
-
 #: What Python's \s and \b mean, within Java's dialect.
 _SPACE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 _NOT_AFTER, _NOT_BEFORE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
 def rich_patterns_any(text) -> Column:
-    """rich_patterns with word ends and white space as Unicode has them, for texts in any language."""
+    """Runs of capitals (10), quoted spans (5) and bullet lines (8) of a text, joined by bars; word ends and white
+    space as Unicode has them, for texts in any language."""
     caps = F.slice(F.regexp_extract_all(text, F.lit(rf"{_NOT_AFTER}[A-Z]{{2,}}(?:{_SPACE}+[A-Z]{{2,}})*{_NOT_BEFORE}"), F.lit(0)), 1, 10)
     quoted = F.slice(F.regexp_extract_all(text, F.lit(r'"([^"]{2,50})"'), F.lit(1)), 1, 5)
     bullets = F.slice(F.regexp_extract_all(text, F.lit(rf"(?md)(?:^|\n){_SPACE}*[•\-*]{_SPACE}*([^\n]{{5,100}})"), F.lit(1)), 1, 8)
     return F.array_join(F.concat(caps, quoted, bullets), " | ")
 
 
+#: Runs of capitalised words, as Unicode has word ends. Fixed value.
+CAPITALISED = rf"{_NOT_AFTER}[A-Z][a-z]*(?:{_SPACE}+[A-Z][a-z]*)*{_NOT_BEFORE}"
+
+
 def sample_key(text) -> Column:
     """First 8 hex digits of the MD5 of a text in lower case with single spaces."""
     return F.left(F.md5(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ").cast("binary")), F.lit(8))

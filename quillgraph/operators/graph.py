@@ -66,25 +66,3 @@ def budget_prefix(rows: DataFrame, budget: int, order: list, tokens: str = "toke
     """Rows in order until the running sum of tokens first exceeds the budget."""
     w = Window.partitionBy(*per).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("running", F.sum(tokens).over(w)).filter(F.col("running") <= budget)
-
-
-def budget_fold(rows: DataFrame, budget: int, order: str, tokens: str, law: str, per: str) -> DataFrame:
-    """The sequential laws, one fold per group: `skip` leaves out what doesn't fit and goes on, `bins` opens a
-    new bin when the last one overflows. per, order, tokens, bin (0 for skip): the rows taken."""
-    items = rows.groupBy(per).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("t")))).alias("items"))
-    kind = "array<struct<o:bigint,t:bigint,bin:int>>"
-    begun = F.named_struct(F.lit("used"), F.lit(0).cast("bigint"), F.lit("bin"), F.lit(0), F.lit("out"), F.array().cast(kind))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["t"] <= budget
-        row = lambda b: F.concat(acc["out"], F.array(F.named_struct(F.lit("o"), x["o"], F.lit("t"), x["t"], F.lit("bin"), b)))
-        if law == "skip":
-            used, number, out = F.when(fits, acc["used"] + x["t"]).otherwise(acc["used"]), acc["bin"], F.when(fits, row(F.lit(0))).otherwise(acc["out"])
-        else:
-            opens = ~fits & (F.size(acc["out"]) > 0)
-            number = F.when(opens, acc["bin"] + 1).otherwise(acc["bin"])
-            used, out = F.when(opens, x["t"]).otherwise(acc["used"] + x["t"]), row(number)
-        return F.named_struct(F.lit("used"), used, F.lit("bin"), number, F.lit("out"), out)
-
-    folded = items.select(per, F.explode(F.aggregate("items", begun, step, lambda a: a["out"])).alias("r"))
-    return folded.select(per, F.col("r.o").alias(order), F.col("r.t").alias(tokens), F.col("r.bin").alias("bin"))

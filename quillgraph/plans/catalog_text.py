@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import columns as C
 from quillgraph.operators import graph as G
+from quillgraph.operators.budget import budget_fold, running_sums
 from quillgraph.operators.chunking import chunks
+from quillgraph.operators.quantiles import quantiles
+from quillgraph.operators.storage import saved
 from quillgraph.plans.catalog import _MEM, _CO, ORACLE_SQL, memberships, part_mentions, query, t
 
 _DOCS = "d as (select doc_id, text, coalesce(length(text), 0) // 4 as tokens from documents)"
@@ -68,10 +69,11 @@ def report_fallback_topk(spark, sf_dir):
 def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """doc_id, score of documents that hold a term: BM25 over words cut at anything but letters a to z.
 
-    Only the terms' postings are shuffled: term frequencies are counted inside each row.
+    Texts are read once: lengths and term frequencies, counted inside each row, are written, as statistics and
+    scores both need them.
     """
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
-    rows = docs.select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("len"), *[F.size(F.filter("w", (lambda q: lambda x: x == q)(q))).alias(f"tf_{i}") for i, q in enumerate(terms)])
+    rows = saved(docs.select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("len"), *[F.size(F.filter("w", (lambda q: lambda x: x == q)(q))).alias(f"tf_{i}") for i, q in enumerate(terms)]))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"tf_{i}") > 0).cast("long")).alias(f"df_{i}") for i in range(len(terms))])
     scored = rows.filter(" or ".join(f"tf_{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)
@@ -111,7 +113,8 @@ def hybrid_union_topk(spark, sf_dir):
 
 @query(f"with {_DOCS}, r as (select d.doc_id, source, tokens, sum(tokens) over (partition by source order by d.doc_id rows unbounded preceding) as running from d join documents using (doc_id)) select doc_id, source, tokens, running::bigint as running from r where running <= 4000")
 def budget_prefix(spark, sf_dir):
-    return G.budget_prefix(sized(spark, sf_dir), 4000, [F.col("doc_id")], per=("source",)).select("doc_id", "source", "tokens", "running")
+    r = running_sums(sized(spark, sf_dir), "tokens", ["source"], [F.col("doc_id")])
+    return r.filter("running <= 4000").select("doc_id", "source", "tokens", "running")
 
 
 _FOLD = "x as (select source, doc_id, length(text) // 4 as tokens, row_number() over (partition by source order by doc_id) as k from documents)"
@@ -119,26 +122,21 @@ _FOLD = "x as (select source, doc_id, length(text) // 4 as tokens, row_number()
 
 @query(f"with recursive {_FOLD}, f as (select source, doc_id, tokens, k, tokens <= 4000 as taken, case when tokens <= 4000 then tokens else 0 end as used from x where k = 1 union all select x.source, x.doc_id, x.tokens, x.k, f.used + x.tokens <= 4000, case when f.used + x.tokens <= 4000 then f.used + x.tokens else f.used end from f join x on x.source = f.source and x.k = f.k + 1) select source, doc_id, tokens from f where taken")
 def budget_skip(spark, sf_dir):
-    return G.budget_fold(sized(spark, sf_dir), 4000, "doc_id", "tokens", "skip", "source").drop("bin")
+    return budget_fold(sized(spark, sf_dir), 4000, "doc_id", "tokens", "skip", "source").drop("bin")
 
 
 @query(f"with recursive {_FOLD}, f as (select source, doc_id, tokens, k, 0 as bin, tokens as used from x where k = 1 union all select x.source, x.doc_id, x.tokens, x.k, case when f.used + x.tokens <= 4000 then f.bin else f.bin + 1 end, case when f.used + x.tokens <= 4000 then f.used + x.tokens else x.tokens end from f join x on x.source = f.source and x.k = f.k + 1) select source, doc_id, tokens, bin from f")
 def budget_bins(spark, sf_dir):
-    return G.budget_fold(sized(spark, sf_dir), 4000, "doc_id", "tokens", "bins", "source")
+    return budget_fold(sized(spark, sf_dir), 4000, "doc_id", "tokens", "bins", "source")
 
 
 @query(
-    f"""with {_CO}, pick as (select p_partkey as e, p_name, row_number() over (order by p_retailprice desc, p_partkey) as o from part where p_partkey <= 40),
+    f"""with {_CO}, pick as (select p_partkey as e, p_name, row_number() over (order by p_retailprice desc, p_partkey) as o from part),
     h as (select distinct x.a, x.b, x.n from (select a, b, n, unnest([a, b]) as e from co) x join pick using (e))
     select 'relationship' as kind, a || '-' || b as id, n as rank from (select * from h order by n desc, a, b limit 10)
     union all select * from (select 'text_unit', c::varchar, min(o) from (select distinct l_orderkey as c, l_partkey as e from lineitem) join pick using (e) group by c order by min(o), c limit 10)"""
 )
 def local_context_rows(spark, sf_dir):
-    return context_rows(spark, sf_dir, t(spark, sf_dir, "part").filter("p_partkey <= 40"))
-
-
-@query(ORACLE_SQL["local_context_rows"].replace(" where p_partkey <= 40", ""))
-def local_context_rows_whole(spark, sf_dir):
     return context_rows(spark, sf_dir, t(spark, sf_dir, "part"))
 
 
@@ -156,14 +154,14 @@ def context_rows(spark, sf_dir, p: DataFrame) -> DataFrame:
 
 def features(docs: DataFrame) -> DataFrame:
     words = C.words_of(F.col("text"))
-    caps = F.regexp_count("text", F.lit("[A-Z]"))
-    names = F.regexp_count("text", F.lit("[A-Z][a-z]+"))
+    caps = F.length("text") - F.length(F.translate("text", _LOW.upper(), ""))
+    names = F.regexp_count("text", F.lit(C.CAPITALISED))
     base = docs.select("doc_id", "text", F.length("text").alias("chars"), F.size(words).alias("words"), F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)).alias("letters"), caps.alias("caps"), names.alias("names"), F.regexp_count("text", F.lit("[.!?]+")).alias("sentences"))
     complexity = F.try_divide("letters", "words") * F.try_divide("caps", "chars") + F.try_divide("names", "words")
     return base.select("doc_id", "chars", "words", "sentences", F.round(F.coalesce(complexity, F.lit(0.0)), 6).alias("complexity"))
 
 
-_FEAT = """b as (select doc_id, length(text) as chars, [x for x in string_split_regex(text, '\\s+') if x <> ''] as w, len(regexp_extract_all(text, '[A-Z]')) as caps, len(regexp_extract_all(text, '[A-Z][a-z]+')) as names, len(regexp_extract_all(text, '[.!?]+')) as sentences from documents),
+_FEAT = """b as (select doc_id, length(text) as chars, [x for x in string_split_regex(text, '\\s+') if x <> ''] as w, len(regexp_extract_all(text, '[A-Z]')) as caps, len(regexp_extract_all(regexp_replace(text, '[\\x{00C0}-\\x{00D6}\\x{00D8}-\\x{00F6}\\x{00F8}-\\x{024F}]', '_', 'g'), '\\b[A-Z][a-z]*(?:[\\t-\\r\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+[A-Z][a-z]*)*\\b')) as names, len(regexp_extract_all(text, '[.!?]+')) as sentences from documents),
     f as (select doc_id, chars, len(w) as words, sentences, round(coalesce(list_sum([length(x) for x in w]) / nullif(len(w), 0) * (caps / nullif(chars, 0)) + names / nullif(len(w), 0), 0), 6) as complexity from b)"""
 
 
@@ -174,39 +172,34 @@ def doc_features(spark, sf_dir):
 
 def stratified(f: DataFrame, least: int = 5, most: int = 50) -> DataFrame:
     """doc_id, stratum: by complexity and length below the 33rd, up to the 67th percentile and above, the most
-    complex of each of up to nine strata; n = min(max(least, rows / 4), min(most, rows)) in all."""
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    cuts = f.agg(q("complexity", 0.33).alias("c1"), q("complexity", 0.67).alias("c2"), q("chars", 0.33).alias("l1"), q("chars", 0.67).alias("l2"), F.count(F.lit(1)).alias("total"))
-    level = lambda c, a, b: F.when(F.col(c) <= F.col(a), 0).when(F.col(c) <= F.col(b), 1).otherwise(2)
-    s = f.join(F.broadcast(cuts)).withColumn("stratum", level("complexity", "c1", "c2") * 3 + level("chars", "l1", "l2"))
-    strata = s.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
-    n = F.least(F.greatest(F.lit(least), F.floor(F.col("total") / 4)), F.least(F.lit(most), F.col("total")))
+    complex of each of up to nine strata; n = min(max(least, rows / 4), min(most, rows)) in all, or all rows if
+    there are no more than n. The features are written once, as cuts, strata and ranks all read them."""
+    f = saved(f.select("doc_id", "complexity", "chars"))
+    (c1, c2), (l1, l2) = (quantiles(f, c, [0.33, 0.67]) for c in ("complexity", "chars"))
+    total = f.count()
+    level = lambda c, a, b: F.when(F.col(c) <= F.lit(a), 0).when(F.col(c) <= F.lit(b), 1).otherwise(2)
+    s = f.withColumn("stratum", level("complexity", c1, c2) * 3 + level("chars", l1, l2))
+    n = min(max(least, total // 4), min(most, total))
+    if n >= total:
+        return s.select("doc_id", "stratum")
+    strata = s.select("stratum").distinct().count()  # nine at most
     k = F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("complexity"), "doc_id"))
-    ranked = s.withColumn("k", k).filter(F.col("k") <= most).join(F.broadcast(strata))
-    kept = ranked.filter(F.col("k") <= F.greatest(F.lit(1), F.floor(n / F.col("strata")))).withColumn("n", n)
-    # nine strata of at most `most` rows are left here
-    return kept.withColumn("at", F.row_number().over(Window.orderBy("stratum", "k"))).filter("at <= n").select("doc_id", "stratum")
+    kept = s.withColumn("k", k).filter(F.col("k") <= max(1, n // strata))
+    return kept.orderBy("stratum", "k").limit(n).select("doc_id", "stratum")
 
 
 @query(
     f"""with {_FEAT}, q as (select quantile_cont(complexity, 0.33) as c1, quantile_cont(complexity, 0.67) as c2, quantile_cont(chars, 0.33) as l1, quantile_cont(chars, 0.67) as l2, count(*) as total from f),
     s as (select doc_id, complexity, total, (case when complexity <= c1 then 0 when complexity <= c2 then 1 else 2 end) * 3 + case when chars <= l1 then 0 when chars <= l2 then 1 else 2 end as stratum from f, q),
     k as (select *, row_number() over (partition by stratum order by complexity desc, doc_id) as k, (select count(distinct stratum) from s) as strata, least(greatest(5, total // 4), least(50, total)) as n from s),
-    o as (select doc_id, stratum, n, row_number() over (order by stratum, k) as place from k where k <= greatest(1, n // strata)) select doc_id, stratum from o where place <= n"""
+    o as (select doc_id, stratum, n, row_number() over (order by stratum, k) as place from k where k <= greatest(1, n // strata) or n >= total) select doc_id, stratum from o where place <= n"""
 )
 def stratified_docs(spark, sf_dir):
     return stratified(features(t(spark, sf_dir, "documents")))
 
 
-@query(r"""select doc_id, array_to_string(regexp_extract_all(text, '\b[A-Z]{2,}(?:\s+[A-Z]{2,})*\b')[1:10] || regexp_extract_all(text, '"([^"]{2,50})"', 1)[1:5] || regexp_extract_all(text, '(?m)(?:^|\n)\s*[•\-*]\s*([^\n]{5,100})', 1)[1:8], ' | ') as patterns from documents where regexp_matches(text, '[A-Z]{2,}|"') and not regexp_matches(text, '[^\x00-\x7F]')""")
-def pattern_extract(spark, sf_dir):
-    # word boundaries differ between regex dialects outside ASCII
-    d = t(spark, sf_dir, "documents").filter(F.col("text").rlike('[A-Z]{2,}|"') & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return d.select("doc_id", C.rich_patterns(F.col("text")).alias("patterns"))
-
-
 @query()
-def pattern_extract_whole(spark, sf_dir):
+def pattern_extract(spark, sf_dir):
     # no SQL: word ends outside ASCII differ between regex dialects; a test holds it against Python's
     d = t(spark, sf_dir, "documents").filter(F.col("text").rlike('[A-Z]{2,}|"'))
     return d.select("doc_id", C.rich_patterns_any(F.col("text")).alias("patterns"))
@@ -279,20 +272,15 @@ def question_distribution(spark, sf_dir):
 # ---- answers
 
 
-_ANS = r"""p as (select u.conv_id, u.turn, left(u.text, 200) as truth, left(a.text, 200) as pred from conversations u join conversations a on u.conv_id = a.conv_id and a.turn = u.turn + 1),
+_ANS = r"""p as (select u.conv_id, u.turn, u.text as truth, a.text as pred from conversations u join conversations a on u.conv_id = a.conv_id and a.turn = u.turn + 1),
     n as (select conv_id, turn, truth, pred, [x for x in string_split_regex(regexp_replace(lower(truth), '[!-/:-@\[-`{-~]', '', 'g'), '\s+') if x not in ('', 'a', 'an', 'the')] as tt, [x for x in string_split_regex(regexp_replace(lower(pred), '[!-/:-@\[-`{-~]', '', 'g'), '\s+') if x not in ('', 'a', 'an', 'the')] as pt from p)"""
 
 
 def answer_pairs(spark, sf_dir) -> DataFrame:
-    """Each turn's text as truth and the next one's as prediction, 200 characters of each as the answer.
+    """Each turn's text as truth and the next one's as prediction.
 
     Every row but a conversation's last has one, so a window over the conversation pairs them without a join.
     """
-    return whole_pairs(spark, sf_dir).select("conv_id", "turn", *[F.left(x, F.lit(200)).alias(x) for x in ("truth", "pred")])
-
-
-def whole_pairs(spark, sf_dir) -> DataFrame:
-    """answer_pairs with whole texts."""
     c = t(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     nxt = c.withColumn("pred", F.lead("text").over(w)).withColumn("at", F.lead("turn").over(w)).filter("at = turn + 1")
@@ -315,60 +303,22 @@ def exact_match(spark, sf_dir):
     select conv_id, turn, round(case when len(tt) = 0 and len(pt) = 0 then 1.0 else coalesce(2 * s / (len(tt) + len(pt)), 0) end, 6) as f1 from n left join s using (conv_id, turn)"""
 )
 def token_f1(spark, sf_dir):
-    return answer_pairs(spark, sf_dir).select("conv_id", "turn", F.round(C.token_f1(F.col("pred"), F.col("truth")), 6).alias("f1"))
+    return answer_pairs(spark, sf_dir).select("conv_id", "turn", F.round(C.long_token_f1(F.col("pred"), F.col("truth")), 6).alias("f1"))
 
 
-@query(r"""with p as (select u.conv_id, u.turn, list_distinct([x for x in string_split_regex(lower(left(u.text, 200)), '\s+') if x <> '']) as t, list_distinct([x for x in string_split_regex(lower(left(a.text, 200)), '\s+') if x <> '']) as c from conversations u join conversations a on u.conv_id = a.conv_id and a.turn = u.turn + 1)
+@query(r"""with p as (select u.conv_id, u.turn, list_distinct([x for x in string_split_regex(lower(u.text), '\s+') if x <> '']) as t, list_distinct([x for x in string_split_regex(lower(a.text), '\s+') if x <> '']) as c from conversations u join conversations a on u.conv_id = a.conv_id and a.turn = u.turn + 1)
     select conv_id, turn, round(case when len(t) = 0 then 0 else least(1, len(list_intersect(t, c)) / len(t)) end, 6) as recall from p""")
 def context_recall(spark, sf_dir):
     return answer_pairs(spark, sf_dir).select("conv_id", "turn", F.round(C.context_recall(F.col("truth"), F.col("pred")), 6).alias("recall"))
 
 
 @query(
-    r"""with a as (select conv_id, turn, trim(left(text, 20 + (turn % 3) * 40)) as t from conversations)
+    r"""with a as (select conv_id, turn, trim(text) as t from conversations)
     select conv_id, turn, case when lower(t) in ('yes', 'no', 'unknown', 'true', 'false') then lower(t) when length(t) < 50 then lower(trim(regexp_replace(regexp_replace(t, '^(?i)the answer is ', ''), '^(?i)answer: ', '')))
     when contains(lower(trim(string_split(t, '.')[1])), 'yes') and not contains(lower(trim(string_split(t, '.')[1])), 'no') then 'yes' when contains(lower(trim(string_split(t, '.')[1])), 'no') and not contains(lower(trim(string_split(t, '.')[1])), 'yes') then 'no'
     else lower(left(trim(string_split(t, '.')[1]), 50)) end as answer from a"""
 )
 def concise_answer(spark, sf_dir):
-    c = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim(F.left("text", 20 + (F.col("turn") % 3) * 40)).alias("t"))
-    return c.select("conv_id", "turn", C.short_answer(F.col("t")).alias("answer"))
-
-
-def _uncut(name: str) -> str:
-    """A query's SQL on whole texts."""
-    return re.sub(r"left\((u\.text|a\.text|text), (?:200|20 \+ \(turn % 3\) \* 40)\)", r"\1", ORACLE_SQL[name])
-
-
-@query(_uncut("normalise_answer"))
-def normalise_answer_whole(spark, sf_dir):
-    return whole_pairs(spark, sf_dir).select("conv_id", "turn", C.normal_answer(F.col("truth")).alias("answer"))
-
-
-@query(_uncut("exact_match"))
-def exact_match_whole(spark, sf_dir):
-    return whole_pairs(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.sum(C.exact_match(F.col("pred"), F.col("truth")).cast("long")).alias("matches"))
-
-
-@query(_uncut("token_f1"))
-def token_f1_whole(spark, sf_dir):
-    # counted by row and word: holding each word of a long text against all others takes too long
-    n = whole_pairs(spark, sf_dir).select("conv_id", "turn", F.monotonically_increasing_id().alias("rid"), *[C.words_of(C.normal_answer(F.col(x))).alias(x) for x in ("truth", "pred")])
-    tag = lambda mine: lambda w: F.struct(w.alias("w"), F.lit(mine).alias("mine"))
-    tagged = F.concat(F.transform("truth", tag(True)), F.transform("pred", tag(False)))
-    each = n.select("conv_id", "turn", "rid", (F.size("truth") + F.size("pred")).alias("size"), F.explode_outer(tagged).alias("x"))
-    words = each.groupBy("conv_id", "turn", "rid", "size", "x.w").agg(F.least(F.count_if("x.mine"), F.count_if(~F.col("x.mine"))).alias("shared"))
-    summed = words.groupBy("conv_id", "turn", "rid", "size").agg(F.sum("shared").alias("shared"))
-    return summed.select("conv_id", "turn", F.when(F.col("size") == 0, 1.0).otherwise(F.round(2 * F.col("shared") / F.col("size"), 6)).alias("f1"))
-
-
-@query(_uncut("context_recall"))
-def context_recall_whole(spark, sf_dir):
-    return whole_pairs(spark, sf_dir).select("conv_id", "turn", F.round(C.context_recall(F.col("truth"), F.col("pred")), 6).alias("recall"))
-
-
-@query(_uncut("concise_answer"))
-def concise_answer_whole(spark, sf_dir):
     c = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim("text").alias("t"))
     return c.select("conv_id", "turn", C.short_answer(F.col("t")).alias("answer"))
 
@@ -427,16 +377,11 @@ def json_points(spark, sf_dir):
 
 
 @query(
-    """with a as (select event_id as id, event_id // 3 as parent, value as score, 4 * length(event_type) as tokens from events where event_id < 300), e as (select parent as src, id as dst from a where id <> parent),
+    """with a as (select event_id as id, event_id // 3 as parent, value as score, 4 * length(event_type) as tokens from events), e as (select parent as src, id as dst from a where id <> parent),
     i as (select dst as id, count(*) as d from e group by 1), o as (select src as id, count(*) as d from e group by 1)
     select id, round(score + 5 * coalesce(i.d, 0) + 2 * coalesce(o.d, 0), 6) as rank, tokens from a left join i using (id) left join o using (id) order by 2 desc, 1 limit 12"""
 )
 def action_ranking(spark, sf_dir):
-    return ranked_actions(t(spark, sf_dir, "events").filter("event_id < 300"))
-
-
-@query(ORACLE_SQL["action_ranking"].replace(" where event_id < 300", ""))
-def action_ranking_whole(spark, sf_dir):
     return ranked_actions(t(spark, sf_dir, "events"))
 
 
@@ -449,14 +394,8 @@ def ranked_actions(events: DataFrame) -> DataFrame:
     return a.join(into, "id", "left").join(out, "id", "left").select("id", rank.alias("rank"), "tokens").orderBy(F.desc("rank"), "id").limit(12)
 
 
-@query("with f as (select doc_id, ntile(5) over (order by doc_id) as fold from documents where doc_id < 100) select fold, count(*) as n, min(doc_id) as first from f group by 1")
+@query("with f as (select doc_id, ntile(5) over (order by doc_id) as fold from documents) select fold, count(*) as n, min(doc_id) as first from f group by 1")
 def report_folds(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").filter("doc_id < 100").select("doc_id", F.ntile(5).over(Window.orderBy("doc_id")).alias("fold"))
-    return d.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-
-
-@query(ORACLE_SQL["report_folds"].replace(" where doc_id < 100", ""))
-def report_folds_whole(spark, sf_dir):
     return folds(t(spark, sf_dir, "documents"), 5)
 
 
@@ -478,11 +417,19 @@ def folds(docs: DataFrame, k: int, span: int = 65536) -> DataFrame:
     return placed.select(fold.cast("int").alias("fold"), "doc_id").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
 
 
-@query("with f as (select left(md5(string_agg(doc_id || ':' || n_chars, '|' order by doc_id)), 12) as signature from documents) select signature from f")
+@query(
+    """with a as (select doc_id // 1000 as k, md5(string_agg(doc_id || ':' || n_chars, '|' order by doc_id, n_chars)) as h from documents group by 1),
+    b as (select k // 1000 as k, md5(string_agg(h, '|' order by k)) as h from a group by 1), c as (select k // 1000 as k, md5(string_agg(h, '|' order by k)) as h from b group by 1)
+    select left(md5(string_agg(h, '|' order by k)), 12) as signature from c"""
+)
 def corpus_signature(spark, sf_dir):
-    # one short line per document, at the size of a corpus listing, as the signature's definition demands
-    rows = F.array_sort(F.collect_list(F.struct("doc_id", F.concat_ws(":", "doc_id", "n_chars").alias("s"))))
-    return t(spark, sf_dir, "documents").agg(F.left(F.md5(F.array_join(F.transform(rows, lambda r: r["s"]), "|").cast("binary")), F.lit(12)).alias("signature"))
+    """12 digits for the listing `id:length` of a corpus: hashes of thousands of ids, of a thousand such hashes, and
+    so on, so that no row holds the whole listing."""
+    h = lambda of: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(of)), lambda r: r["s"]), "|").cast("binary"))
+    up = lambda d: d.groupBy(F.floor(F.col("k") / 1000).alias("k")).agg(h(F.struct("k", F.col("h").alias("s"))).alias("h"))
+    d = t(spark, sf_dir, "documents")
+    first = d.groupBy(F.floor(F.col("doc_id") / 1000).alias("k")).agg(h(F.struct("doc_id", "n_chars", F.concat_ws(":", "doc_id", "n_chars").alias("s"))).alias("h"))
+    return up(up(first)).agg(F.left(h(F.struct("k", F.col("h").alias("s"))), F.lit(12)).alias("signature"))
 
 
 @query("select p_partkey, p_brand || '_' || replace(lower(trim(p_name)), ' ', '_') as entity_key, trim(regexp_replace(regexp_replace(p_type || '/a+b (c)', '[/+&|!(){}^\"~*?:-]', ' ', 'g'), ' +', ' ', 'g')) as safe from part")

@@ -31,7 +31,7 @@ def test_short_answer(spark, text, want):
 def test_keys_and_patterns(spark):
     assert one(spark, C.entity_key(F.lit("ORG"), F.col("n")), n=" Acme Corp ") == "ORG_acme_corp"
     assert one(spark, C.lucene_safe(F.col("q")), q="a/b + (c) && d") == "a b c d"
-    assert one(spark, C.rich_patterns(F.col("t")), t='see NASA HQ and "some thing"\n- first item') == "NASA HQ | some thing | first item"
+    assert one(spark, C.rich_patterns_any(F.col("t")), t='see NASA HQ and "some thing"\n- first item') == "NASA HQ | some thing | first item"
     assert C.query_terms("Who wrote the THE wrote 1984 abc") == ["wrote", "1984"]
     assert one(spark, C.context_recall(F.col("t"), F.col("c")), t="A b c d", c="a B x") == 0.5
 

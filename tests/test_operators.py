@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import graph as G
 from quillgraph.operators import modularity as M
+from quillgraph.operators.budget import budget_fold, running_sums
 from quillgraph.operators.chunking import chunks, split_sections, split_text
 from quillgraph.operators.components import connected, triage
 from quillgraph.operators.vectors import nearest_graph, similar_pairs
@@ -52,8 +53,46 @@ def test_similar_pairs_by_blocks(spark):
 def test_budgets(spark):
     rows = spark.createDataFrame([("g", i, t) for i, t in enumerate([5, 9, 2, 4])], "p string, o long, tokens long")
     assert [r.o for r in G.budget_prefix(rows, 10, [F.col("o")], per=("p",)).collect()] == [0]
-    assert sorted(r.o for r in G.budget_fold(rows, 10, "o", "tokens", "skip", "p").collect()) == [0, 2]
-    assert sorted((r.o, r.bin) for r in G.budget_fold(rows, 10, "o", "tokens", "bins", "p").collect()) == [(0, 0), (1, 1), (2, 2), (3, 2)]
+    assert sorted(r.o for r in budget_fold(rows, 10, "o", "tokens", "skip", "p").collect()) == [0, 2]
+    assert sorted((r.o, r.bin) for r in budget_fold(rows, 10, "o", "tokens", "bins", "p").collect()) == [(0, 0), (1, 1), (2, 2), (3, 2)]
+
+
+def test_budget_laws_over_blocks(spark):
+    import random
+
+    rng = random.Random(3)
+    items = {p: [rng.choice([0, 1, 3, 7, 12, 30, 200]) for _ in range(rng.randrange(1, 300))] for p in ("a", "b", "c")}
+    rows = spark.createDataFrame([(p, i, x) for p, xs in items.items() for i, x in enumerate(xs)], "p string, o long, tokens long").repartition(5)
+    skip, bins, sums = set(), set(), set()
+    for p, xs in items.items():
+        used, filled, number, running = 0, None, 0, 0
+        for i, x in enumerate(xs):
+            running += x
+            sums.add((p, i, running))
+            if used + x <= 100:
+                used += x
+                skip.add((p, i, 0))
+            if filled is not None and filled + x > 100:
+                number, filled = number + 1, x
+            else:
+                filled = (filled or 0) + x
+            bins.add((p, i, number))
+    assert {(r.p, r.o, r.bin) for r in budget_fold(rows, 100, "o", "tokens", "skip", "p").collect()} == skip
+    assert {(r.p, r.o, r.bin) for r in budget_fold(rows, 100, "o", "tokens", "bins", "p").collect()} == bins
+    assert {(r.p, r.o, r.running) for r in running_sums(rows, "tokens", ["p"], [F.col("o")]).collect()} == sums
+
+
+def test_quantiles_by_brackets(spark):
+    import numpy as np
+
+    from quillgraph.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=5001), rng.integers(0, 4, 3000).astype(float), np.array([7.0]), np.full(2000, 2.5)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").cache()
+        for most in (100, 10**6):
+            assert np.allclose(quantiles(df, "v", [0.0, 0.33, 0.67, 0.95, 1.0], most), np.quantile(values, [0.0, 0.33, 0.67, 0.95, 1.0]))
+    assert quantiles(df.limit(0), "v", [0.5]) == [None]
 
 
 def test_rewiring_drops_loops_and_adds_up(spark):

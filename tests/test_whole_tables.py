@@ -25,9 +25,9 @@ def edges(spark, sf_dir):
 
 def test_paths_take_every_node(spark, sf_dir, edges):
     two = [(m, far) for s, m in edges if s == 1 for x, far in edges if x == m and far != 1]
-    assert sorted(rows(spark, sf_dir, "two_hop_paths_whole")) == sorted(two)
+    assert sorted(rows(spark, sf_dir, "two_hop_paths")) == sorted(two)
     hops = {far: 2 for _, far in two} | {m: 1 for s, m in edges if s == 1} | {1: 0}
-    assert dict(rows(spark, sf_dir, "quantified_path_0_2_whole")) == hops
+    assert dict(rows(spark, sf_dir, "quantified_path_0_2")) == hops
 
 
 @pytest.mark.parametrize("n", [0, 3, 5, 13, 1000])
@@ -46,8 +46,8 @@ def test_folds_are_ntile(spark, n):
 
 def test_results_cover_the_tables(spark, sf_dir):
     count = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
-    assert sum(n for _, n, _ in rows(spark, sf_dir, "report_folds_whole")) == count("documents")
-    assert rows(spark, sf_dir, "entity_coverage_whole")[0][:2] == (count("supplier"),) * 2
+    assert sum(n for _, n, _ in rows(spark, sf_dir, "report_folds")) == count("documents")
+    assert rows(spark, sf_dir, "entity_coverage")[0][:2] == (count("supplier"),) * 2
 
 
 def patterns(text):
@@ -59,7 +59,7 @@ def test_patterns_of_every_document(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect() if r.text is not None}
     want = {i: patterns(x) for i, x in docs.items() if re.search('[A-Z]{2,}|"', x)}
     assert any(not docs[i].isascii() for i in want)
-    assert dict(rows(spark, sf_dir, "pattern_extract_whole")) == want
+    assert dict(rows(spark, sf_dir, "pattern_extract")) == want
 
 
 @pytest.mark.parametrize("text", ["ÜBER BERÜ NASA\u00a0HQ é AB", 'die "größte Straße" ja', "x\u2028- no bullet here\n\u00a0• ein Punkt für alle", "ab² CD² EF_ GH\u0301 IJ"])
@@ -73,5 +73,5 @@ def test_answers_read_whole_texts(spark, sf_dir):
     bare = str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
     words = lambda x: [w for w in re.split(r"[\t-\r ]+", x.lower().translate(bare)) if w not in ("", "a", "an", "the")]
     assert any(len(x) > 200 for x, _ in pairs.values())
-    assert {(c, n): x for c, n, x in rows(spark, sf_dir, "normalise_answer_whole")} == {k: " ".join(words(x)) for k, (x, _) in pairs.items()}
-    assert rows(spark, sf_dir, "exact_match_whole") == [(len(pairs), sum(words(x) == words(y) for x, y in pairs.values()))]
+    assert {(c, n): x for c, n, x in rows(spark, sf_dir, "normalise_answer")} == {k: " ".join(words(x)) for k, (x, _) in pairs.items()}
+    assert rows(spark, sf_dir, "exact_match") == [(len(pairs), sum(words(x) == words(y) for x, y in pairs.values()))]
