@@ -97,6 +97,13 @@ def lucene_safe(text) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r'[/+\-&|!(){}\[\]^"~*?:\\]', " "), r"\s+", " "))
 
 
+def sanitised(query: str) -> str:
+    """lucene_safe for a query on the driver."""
+    import re
+
+    return " ".join(re.sub(r'[/+\-&|!(){}\[\]^"~*?:\\]', " ", query).split())
+
+
 def token_estimate(text) -> Column:
     return F.floor(F.length(F.coalesce(text, F.lit(""))) / 4)
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions import columns as C
 from quillgraph.operators import graph as G
 from quillgraph.operators import vectors as V
 from quillgraph.operators.components import connected, triage

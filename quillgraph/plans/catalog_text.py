@@ -11,7 +11,7 @@ from quillgraph.operators.budget import budget_fold, running_sums
 from quillgraph.operators.chunking import chunks
 from quillgraph.operators.quantiles import quantiles
 from quillgraph.operators.storage import saved
-from quillgraph.plans.catalog import _MEM, _CO, ORACLE_SQL, memberships, part_mentions, query, t
+from quillgraph.plans.catalog import _CO, part_mentions, query, t
 
 _DOCS = "d as (select doc_id, text, coalesce(length(text), 0) // 4 as tokens from documents)"
 _LOW = "abcdefghijklmnopqrstuvwxyz"

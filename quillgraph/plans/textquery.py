@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions.jsonrepair import balanced
 from quillgraph.plans.retrieve import retriever
 
 #: Misspelt keywords and what they should be. Fixed values.
@@ -34,19 +35,28 @@ def read_only(text: str) -> bool:
     return bool(re.match(r"(?i)(select|with|values|table|from)\b", bare)) and ";" not in bare and not re.search(r"(?i)\b(insert|create|drop|alter|delete|update|merge|truncate|refresh|cache)\s+(into|overwrite|table|view|from|database|or)\b", bare)
 
 
+#: Patterns of a broken query outside its strings, and what they mean. Fixed values.
+BROKEN = (
+    (r"^\s*$", "empty query"),
+    (r"(?i)\bselect\s+from\b", "nothing is selected"),
+    (r"(?i)\bfrom\s*(where|group|order|limit|$)", "a table is missing"),
+    (r"(?i)\b(where|and|or|on|by)\s*$", "a condition is missing at the end"),
+    (r"(?i)\bwhere\s+(group|order|limit)\b", "a condition is missing"),
+    (r"(?i),\s*(from|where|group|order|limit)\b", "a comma before a keyword"),
+    (r"(?i)\bin\s*\(\s*\)", "an empty list"),
+    (r"==|<>\s*null|=\s*null", "a comparison that is no SQL or never true"),
+)
+
+
 def check_syntax(text: str) -> Verdict:
-    bare, issues = _bare(text), []
-    for a, b in ("()", "[]", "{}"):
-        if bare.count(a) != bare.count(b):
-            issues.append(f"unbalanced {a}{b}")
-    if not read_only(text):
+    """Rules that need no engine: balanced brackets, a read-only start, patterns that are always wrong."""
+    bare = _bare(text).strip().rstrip(";")
+    issues = [x for x in [balanced(text)] if x]
+    if bare and not read_only(text):
         issues.append("not a read-only statement")
-    elif not re.search(r"(?i)\b(select|from|values|table)\b", bare):
+    elif bare and not re.search(r"(?i)\b(select|from|values|table)\b", bare):
         issues.append("nothing is selected")
-    if re.search(r",\s*(from|where|group|order|limit)\b", bare, re.I):
-        issues.append("a comma before a keyword")
-    if re.search(r"(?i)\b(where|and|or|on)\s*$", bare.strip().rstrip(";")):
-        issues.append("a condition is missing at the end")
+    issues += [said for pattern, said in BROKEN if re.search(pattern, bare)]
     return Verdict(not issues, "syntax", issues)
 
 
@@ -68,13 +78,20 @@ def verify(spark: SparkSession, text: str, judge: Callable[[str], Verdict] | Non
     return verdict
 
 
-def corrected(text: str) -> str:
-    """Rule corrections: fences, white space, a trailing semicolon, misspelt keywords, commas before keywords."""
+def corrected(text: str, issues: tuple[str, ...] = ()) -> str:
+    """Rule corrections: fences, white space, a trailing semicolon, misspelt keywords, commas before keywords,
+    comparisons, and what the verdict's issues hint at."""
     text = re.sub(r"^```\w*\s*|\s*```$", "", text.strip())
     text = re.sub(r"[ \t]+", " ", text).rstrip("; \n")
     for wrong, right in TYPOS.items():
         text = re.sub(rf"\b{wrong}\b", right, text, flags=re.I)
-    return re.sub(r",\s*(?=(?:from|where|group|order|limit)\b)", " ", text, flags=re.I)
+    text = re.sub(r",\s*(?=(?:from|where|group|order|limit)\b)", " ", text, flags=re.I)
+    text = re.sub(r"\s*(?:==|=)\s*null\b", " IS NULL", text, flags=re.I)
+    text = re.sub(r"\s*(?:<>|!=)\s*null\b", " IS NOT NULL", text, flags=re.I)
+    text = re.sub(r"(?<![<>=!])==(?!=)", "=", text)
+    if "nothing is selected" in issues:
+        text = re.sub(r"(?i)\bselect\s+from\b", "SELECT * FROM", text)
+    return re.sub(r"(?i)\s+(?:where|and|or)\s*$", "", text)
 
 
 def refine(spark: SparkSession, text: str, most: int = 3, model: Callable[[str, Verdict], str] | None = None) -> tuple[str, Verdict, list[str]]:
@@ -82,7 +99,7 @@ def refine(spark: SparkSession, text: str, most: int = 3, model: Callable[[str,
     attempts = [text]
     verdict = verify(spark, text)
     while not verdict.valid and len(attempts) <= most:
-        new = corrected(attempts[-1])
+        new = corrected(attempts[-1], tuple(verdict.issues))
         if new == attempts[-1] and model:
             new = model(attempts[-1], verdict)
         if new == attempts[-1]:
@@ -100,10 +117,17 @@ def run_capped(spark: SparkSession, text: str, most: int = 50) -> tuple[list[dic
     return rows[:most], f"... more than {most} rows" if len(rows) > most else ""
 
 
-def schema_text(spark: SparkSession, tables: dict[str, DataFrame], most: int = 30) -> str:
-    """Tables with row counts and their first columns, for a prompt."""
-    lines = [f"{n} ({d.count()} rows): " + ", ".join(f"{c} {k}" for c, k in d.dtypes[:most]) for n, d in sorted(tables.items())]
-    return "\n".join(lines)
+def schema_text(spark: SparkSession, tables: dict[str, DataFrame], most: int = 30, columns: int = 10) -> str:
+    """Tables with row counts, their first columns and an example row's values, and at most `most` column names in
+    all, for a prompt."""
+    lines, names = [], []
+    for name, df in sorted(tables.items()):
+        shown = df.dtypes[:columns]
+        first = df.select(*[F.left(F.col(f"`{c}`").cast("string"), F.lit(30)).alias(c) for c, _ in shown]).limit(1).collect()
+        example = f" e.g. {', '.join(f'{c}={first[0][c]}' for c, _ in shown)}" if first else ""
+        lines.append(f"{name} ({df.count()} rows): " + ", ".join(f"{c} {k}" for c, k in shown) + example)
+        names += [c for c, _ in df.dtypes if c not in names]
+    return "\n".join([*lines, "columns: " + ", ".join(sorted(names)[:most])])
 
 
 def functions_by_prefix(spark: SparkSession, most: int = 10) -> DataFrame:
@@ -115,14 +139,29 @@ def functions_by_prefix(spark: SparkSession, most: int = 10) -> DataFrame:
     return f.withColumn("k", k).filter(F.col("k") <= most).select("grp", "function")
 
 
+#: Kinds of questions, the words that tell them, and their query; first match counts. Fixed values.
+KINDS = (
+    ("count", ("how many", "number of", "count of"), "SELECT count(*) AS n FROM {table}"),
+    ("most", ("most frequent", "most mentioned", "most connected", "top "), "SELECT primary AS id, count(DISTINCT chunk_id) AS n FROM mentions GROUP BY primary ORDER BY n DESC, id LIMIT 10"),
+    ("neighbours", ("connected to", "related to", "linked to", "neighbours of", "neighbors of"), "SELECT a, b, n FROM edges WHERE {ends} ORDER BY n DESC, a, b LIMIT 20"),
+    ("kinds", ("what types", "which types", "kinds of", "which labels"), "SELECT kind, count(*) AS n FROM entities GROUP BY kind ORDER BY n DESC, kind"),
+    ("sources", ("which document", "which documents", "where is", "mentioned in"), "SELECT DISTINCT doc_id FROM mentions WHERE {names} ORDER BY doc_id LIMIT 20"),
+    ("passages", ("passage", "quote", "what does the text", "context of"), "SELECT chunk_id, left(text, 300) AS text FROM chunks WHERE {texts} ORDER BY chunk_id LIMIT 5"),
+    ("reports", ("communit", "topics", "themes", "summar"), "SELECT community, title, summary FROM reports ORDER BY level DESC, rank DESC, community LIMIT 10"),
+)
+
+
 def drafted(question: str) -> str:
-    """Offline generation: counts by table for `how many`, else entities by name."""
-    table = next((w for w in ("chunks", "entities", "mentions", "edges", "reports", "documents") if w[:-1] in question.lower() or w in question.lower()), "entities")
-    if "how many" in question.lower():
-        return f"SELECT count(*) AS n FROM {table}"
-    words = [w for w in re.findall(r"\w{4,}", question.lower()) if w not in ("what", "which", "known", "about", "with")]
-    likes = " OR ".join(f"lower(name) LIKE '%{w}%'" for w in words) or "true"
-    return f"SELECT id, name FROM entities WHERE {likes} ORDER BY id LIMIT 20"
+    """Offline generation: the query of the question's kind, else entities by name."""
+    low = question.lower()
+    table = next((w for w in ("chunks", "entities", "mentions", "edges", "reports", "documents") if w[:-1] in low), "entities")
+    skip = {"what", "which", "known", "about", "with", "does", "where", "many", "most", "connected", "related", "linked", "mentioned", "document", "documents", "passage", "passages", "text", "neighbours"}
+    words = [w for w in re.findall(r"\w{4,}", low) if w not in skip]
+    likes = lambda c: " OR ".join(f"lower({c}) LIKE '%{w}%'" for w in words) or "true"
+    for _, told, query in KINDS:
+        if any(w in low for w in told):
+            return query.format(table=table, ends=f"{likes('a')} OR {likes('b')}", names=likes("name"), texts=likes("text"))
+    return f"SELECT id, name FROM entities WHERE {likes('name')} ORDER BY id LIMIT 20"
 
 
 @retriever("text2query")
@@ -139,15 +178,34 @@ def text2query(graph, question, settings, generate: Callable[[str], str] = draft
 
 
 @retriever("agent")
-def agent(graph, question, settings, generate: Callable[[str], str] = drafted, iterations: int = 5):
-    """The tool loop: look at the schema, draft, run; broaden once if nothing comes back. Bounded by `iterations`."""
+def agent(graph, question, settings, generate: Callable[[str], str] | None = None, iterations: int = 5):
+    """The tool loop: a generator sees the question below the schema, its query is run; if nothing comes back, the
+    question is broadened. Bounded by `iterations`. Without a generator, the offline draft needs no schema."""
     from quillgraph.plans.retrieve import ask
 
     spark = graph["chunks"].sparkSession
-    schema_text(spark, {n: graph[n] for n in ("entities", "chunks") if n in graph})
-    for i in range(max(1, iterations)):
-        found = ask("text2query", graph, question, settings, generate=generate)
-        if found["retrieval_details"] or i == 1:
+    schema = schema_text(spark, {n: graph[n] for n in ("entities", "chunks", "mentions", "edges", "reports") if n in graph}) if generate else ""
+    draft = (lambda q: generate(f"{schema}\n\n{q}")) if generate else drafted
+    found, asked = None, question
+    for _ in range(max(1, iterations)):
+        found = ask("text2query", graph, asked, settings, generate=draft)
+        broader = " ".join(asked.split()[:-1])
+        if found["retrieval_details"] or not broader:
             break
-        question = re.sub(r"\b\w{12,}\b", "", question)
+        asked = broader
+    if found["error"]:
+        raise RuntimeError(found["error"])
     return found["final_answer"], found["retrieval_details"]
+
+
+def tools(graph: dict[str, DataFrame]) -> dict[str, Callable[[str], str]]:
+    """What an agent framework may call: the schema and a read-only query, both text to text."""
+    spark = next(iter(graph.values())).sparkSession
+    for name, df in graph.items():
+        df.createOrReplaceTempView(name)
+
+    def read(query: str) -> str:
+        rows, note = run_capped(spark, query)
+        return "\n".join([", ".join(f"{k}={v}" for k, v in r.items()) for r in rows] + ([note] if note else []))
+
+    return {"get_schema": lambda _="": schema_text(spark, graph), "read_query": read}

@@ -115,3 +115,119 @@ def test_store_and_checks(spark, tmp_path):
     found = readers.schema_problems({"store": store}, {"store": ["chunk_id", "doc_id"], "reports": ["id"]}, {"store": "chunk_id"}, 2)
     assert found == ["reports: missing", "store.doc_id: missing", "store.chunk_id: not unique", "store.embedding: not of 2 numbers"]
     assert readers.wiped(spark, str(tmp_path), ["store", "nothing"]) == {"store": 0, "nothing": 0}
+
+
+def test_communities_reports_and_vectors(built):
+    again = build.with_communities(built, reports_only=True)
+    assert again["reports"].count() == built["reports"].count() and set(build.counts(again)) >= {"chunks", "reports"}
+    vectors = build.embedded_reports(built["reports"], Settings())
+    first = vectors.limit(1)
+    assert build.embedded_reports(built["reports"], Settings(), first).count() == vectors.count() == built["reports"].count()
+    assert build.document_mentions(built["mentions"]).count() <= built["mentions"].count()
+    assert drift.report_problems(built["reports"])["without_vector"] == built["reports"].count()
+
+
+def test_resolution_asks_and_reviews(spark):
+    rows = [(f"N_{i}", n, "N") for i, n in enumerate(["acme corp one", "Acme Corp One", "acme corp two", "far away"])]
+    found = spark.createDataFrame(rows, "id string, name string, kind string")
+    settings = Settings(knn_cutoff=0.5)
+    to = lambda **o: {r.node: r.primary for r in build.resolved(found, settings, **o)[0].collect()}
+    assert to() == {"N_0": "N_0", "N_1": "N_0", "N_2": "N_2", "N_3": "N_3"}
+    near = Settings(knn_cutoff=0.5)
+    decisions = build.resolved(found, near)[1].collect()
+    assert [d.decision for d in decisions] == ["ignore"]
+
+
+def test_building_from_lists_and_folders(spark, tmp_path):
+    g = build.build_texts(spark, [TEXTS[0][1], " ", TEXTS[1][1]], ["a"], "p", lean=True)
+    assert {r.doc_id for r in g["documents"].collect()} == {"p_a_0", "p_unknown_2"}
+    (tmp_path / "pdf").mkdir()
+    for i, text, *_ in TEXTS:
+        (tmp_path / f"pdf/{i}.pdf").write_bytes(text.encode())
+    (tmp_path / "pdf/bad.pdf").write_bytes(b" ")
+    root, folder = str(tmp_path / "store"), str(tmp_path / "pdf")
+    out = build.build_directory(spark, folder, root, parse=lambda b: b.decode(), discover=lambda d: ["NAME"])
+    assert out["labels"] == ["NAME"] and [e["name"] for e in out["errors"]] == ["bad.pdf"] and out["rows"]["documents"] == 3
+    assert build.build_directory(spark, folder, root, mode="add")["rows"]["reports"] == out["rows"]["reports"] > 0
+    with pytest.raises(ValueError):
+        build.build_directory(spark, folder, root, mode="other")
+
+
+def test_hybrid_and_local_contexts(spark, built):
+    got = retrieve.ask("hybrid", built, "Marie Curie in Paris")
+    ids = [d["metadata"]["id"] for d in got["retrieval_details"]]
+    assert got["error"] is None and any(i.startswith("1_chunk") for i in ids)
+    above = retrieve.with_ancestors(built, built["members"].filter("level = 0").select("community").distinct())
+    assert above.count() >= built["members"].filter("level = 0").select("community").distinct().count()
+    assert retrieve.full_text(built["entities"], "a (curie) AND/or?", 5).count() >= 2 and retrieve.full_text(built["entities"], "? !", 5).count() == 0
+    seeds = retrieve.seed_entities(built, "Marie Curie", Settings(), 5, exclude=["Marie Curie"])
+    assert "NAME_marie_curie" not in {r.entity for r in seeds.collect()}
+    assert "exceed" in retrieve.ask("local", built, "x", community=0.8, text=0.5)["error"]
+    none = built | {"entities": built["entities"].limit(0)}
+    assert len(retrieve.ask("local", none, "x")["retrieval_details"]) == 3
+    mapped = retrieve.ask("global", built, "Which themes has marie curie", strategy="map_reduce")
+    assert mapped["error"] is None and mapped["final_answer"]
+    assert retrieve.ask("global", built, "zz", strategy="map_reduce")["final_answer"]
+
+
+def test_iterative_search(built):
+    out, how = drift.primed_all(built, ["Who is Marie Curie?", "Ada?"], Settings())
+    assert how["failed"] == 0 and all(x["expanded"].startswith(x["query"]) and len(x["follow_ups"]) <= 3 for x in out)
+    bad, how = drift.primed_all(built, ["x"], Settings(model=lambda p: 1 / 0))
+    assert how["failed"] == 1 and bad[0]["score"] == 0
+    state = drift.explore(built, "Marie Curie", Settings())
+    assert state.depth("Marie Curie") == 0 and state.tokens()["completed"] >= 1 and state.info("Marie Curie")["steps"] == 0
+    assert drift.point_of('{"response": "r", "score": "70", "follow_up_queries": ["q"]}') == {"answer": "r", "score": 70.0, "follow_ups": ["q"]}
+    assert drift.point_of("words")["score"] == 50.0 and drift.point_of('{"score": "x"}')["score"] == 50.0
+    got = retrieve.ask("legacy_drift", built, "Marie Curie")
+    assert got["error"] is None and got["final_answer"]
+    assert drift.relevant_reports(built, "Marie Curie", Settings(), 2).count() <= 2
+
+
+def test_query_rules_and_agent(spark, built):
+    for text in ("", "select from x", "select a from where b", "select a from x where", "select a from x where b in ()", "select a, from x", "select (a from x", "select a from x where b == 1"):
+        assert not textquery.check_syntax(text).valid, text
+    assert textquery.check_syntax("select ')' as a from x where b = 'is == ('").valid
+    assert textquery.corrected("select a from x where b == null and") == "select a from x where b IS NULL"
+    assert textquery.corrected("SELECT FROM x", ("nothing is selected",)) == "SELECT * FROM x"
+    seen = []
+    got = retrieve.ask("agent", built, "How many entities", generate=lambda p: seen.append(p) or "SELECT count(*) AS n FROM entities")
+    assert got["retrieval_details"] and "entities (" in seen[0] and "e.g." in seen[0]
+    for q in ("How many chunks", "What is most mentioned", "What is connected to Curie", "What types are there", "Which documents name Curie", "passages about Radium", "main topics", "What is known about Curie"):
+        assert retrieve.ask("agent", built, q)["retrieval_details"], q
+    t = textquery.tools(built)
+    assert "edges" in t["get_schema"]() and t["read_query"]("select count(*) as n from chunks").startswith("n=")
+
+
+def test_models_and_presets():
+    import asyncio
+
+    from quillgraph import models
+
+    async def slow(prompt):
+        return prompt + "!"
+
+    assert asyncio.run(models.invoke(slow, "a")) == "a!" and asyncio.run(models.invoke(lambda p: p, "b")) == "b"
+    assert models.make("embedder", "hash", dim=8).dim == 8 and models.preset("mini")["questions"] == 10 and "micro" in models.presets()
+    for f in (lambda: models.make("model", "x"), lambda: models.preset("x")):
+        with pytest.raises(KeyError):
+            f()
+    mine = models.Settings(budget=1)
+    assert models.current(mine) is models.current() is mine
+    models.reset()
+    assert models.current().budget == 8000
+    assert models.configuration_problems(models.Settings(overlap=2000), {"chunks": 64, "reports": 8, "none": None}) == ["reports: 8 numbers, the embedder has 64", "overlap: not below the chunk size"]
+
+
+def test_tokens_by_vocabulary(spark):
+    places = pytest.importorskip("public_tokenizers")
+    import tokenizers
+    from pyspark.sql import functions as F
+
+    from quillgraph.models import VocabularyTokens
+
+    model = tokenizers.Tokenizer.from_file(str(places.path("byte_bpe_50k.json")))
+    texts = ["", "plain words, and 12 numbers", "Größe überall\n\n  x", None]
+    counter = VocabularyTokens(str(places.path("byte_bpe_50k.tiktoken")), places.PATTERN)
+    got = [r.n for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").coalesce(1).select("i", counter.column(F.col("t")).alias("n")).orderBy("i").collect()]
+    assert got == [len(model.encode(x).ids) if x else 0 for x in texts]
