@@ -1,6 +1,9 @@
 """The corpus pipeline: toxicity, line dedup, near-duplicates, source mixing, packing.
 
-Every stage is written as Parquet and read again as the next one's documents.
+Every stage is written as Parquet and read again as the next one's documents. Of odd input: null and empty texts
+and rows without doc_id pass all stages but the mix, which takes documents with words only; rows repeated with one
+doc_id are one document and go or stay together; ties go to the smaller doc_id; an empty table gives no rows;
+further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,13 +23,13 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def repeated_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that occur or nearly occur earlier go; so do documents of which nothing is left."""
     lines = line_dedup.dedup_lines(docs, drop_blank=True)
-    return lines.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return lines.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else lines
 
 
 def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 0.8 or more of their five-word shingles, the one with the smallest id stays."""
-    gone = near_dup.near_duplicates(docs, width=5, percent=80, halves=10).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_dup.near_duplicates(docs, width=5, percent=80, halves=10).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def sources_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +50,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: No SQL: the stages train a model, hash and tokenise; tests hold every stage against brute force.
+#: No SQL: the stages train a model, hash and tokenise; tests/llm holds them against plain Python.
 ORACLE_SQL = None
 
 
