@@ -78,12 +78,66 @@ def _pdf_text(data: bytes) -> str:
     return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
 
 
-def tables_as_chunks(tables: DataFrame, start: DataFrame) -> DataFrame:
-    """Table texts (doc_id, csv) as chunks of type `table`, at most 20,000 characters, numbered on after the text."""
+def tables_as_chunks(tables: DataFrame, start: DataFrame, most: int = 20_000) -> DataFrame:
+    """Table texts (doc_id, csv) as chunks of type `table`, at most `most` characters, numbered on after the text."""
     from pyspark.sql import Window
 
     k = F.row_number().over(Window.partitionBy("doc_id").orderBy("csv"))
-    return tables.withColumn("k", k).join(start, "doc_id", "left").select("doc_id", (F.coalesce("chunks", F.lit(0)) + F.col("k") - 1).alias("index"), F.left("csv", F.lit(20_000)).alias("text"), F.lit("table").alias("type"))
+    return tables.withColumn("k", k).join(start, "doc_id", "left").select("doc_id", (F.coalesce("chunks", F.lit(0)) + F.col("k") - 1).alias("index"), F.left("csv", F.lit(most)).alias("text"), F.lit("table").alias("type"))
+
+
+def pdf_tables(spark: SparkSession, path: str, extractors: list[Callable[[bytes], list[str]]], start: DataFrame, most: int = 20_000) -> DataFrame:
+    """doc_id, index, text, type: tables of PDF files as chunks after a document's text chunks (start: doc_id, chunks).
+
+    extractors: bytes to tables as CSV texts, in order of preference; the first that finds any counts, one that
+    fails counts as finding none. Which library they use is up to the caller.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.lower("path").endswith(".pdf"))
+
+    def run(batches):
+        for pdf in batches:
+            for p, content in zip(pdf["path"], pdf["content"]):
+                found: list[str] = []
+                for extract in extractors:
+                    try:
+                        found = [x for x in extract(bytes(content)) if x.strip()]
+                    except Exception:  # another library may read what this one can't
+                        found = []
+                    if found:
+                        break
+                if found:
+                    yield pd.DataFrame({"doc_id": p, "csv": found})
+
+    return tables_as_chunks(files.select("path", "content").mapInPandas(run, "doc_id string, csv string"), start, most)
+
+
+def fetched_articles(titles: DataFrame, fetch: Callable[[str], dict | None], cache: str, at_once: int = 4) -> DataFrame:
+    """name, title, text, url, summary of titles (title): from the cache at `cache`, or fetched and added to it.
+
+    `fetch` gives a dict or null; a title that fails isn't cached, so that another run tries it again.
+    """
+    spark = titles.sparkSession
+    schema = "name string, title string, text string, url string, summary string"
+    _, there = _exists(spark, cache)
+    known = spark.read.schema(schema).parquet(cache) if there else spark.createDataFrame([], schema)
+    wanted = titles.select("title").filter(F.length(F.trim("title")) > 0).distinct().withColumn("name", cache_name(F.col("title")))
+
+    def one(title: str):
+        try:
+            return fetch(title)
+        except Exception:
+            return None
+
+    def run(batches):
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for pdf in batches:
+                rows = [(n, t, a.get("text"), a.get("url"), (a.get("summary") or "")[:500]) for n, t, a in zip(pdf["name"], pdf["title"], pool.map(one, pdf["title"])) if a]
+                yield pd.DataFrame(rows, columns=["name", "title", "text", "url", "summary"])
+
+    wanted.join(known.select("name"), "name", "left_anti").select("name", "title").mapInPandas(run, schema).write.mode("append").parquet(cache)
+    return spark.read.schema(schema).parquet(cache).join(wanted.select("name"), "name", "left_semi")
 
 
 def cache_name(title: Column) -> Column:

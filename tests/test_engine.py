@@ -125,6 +125,12 @@ def test_communities_reports_and_vectors(built):
     assert build.embedded_reports(built["reports"], Settings(), first).count() == vectors.count() == built["reports"].count()
     assert build.document_mentions(built["mentions"]).count() <= built["mentions"].count()
     assert drift.report_problems(built["reports"])["without_vector"] == built["reports"].count()
+    broken = built | {"reports": built["reports"].filter("level > 0"), "report_vectors": first}
+    assert {r.with_vector for r in build.hierarchy_report(built).collect()} == {0}
+    mended = build.repaired_hierarchy(broken, Settings())
+    assert mended["reports"].count() == built["reports"].count() == mended["report_vectors"].count()
+    assert all(r.total == r.with_summary == r.with_vector for r in build.hierarchy_report(mended).collect())
+    assert build.consents(0.05) and not build.consents(0.2) and build.consents(0.2, True)
 
 
 def test_resolution_asks_and_reviews(spark):
@@ -231,3 +237,21 @@ def test_tokens_by_vocabulary(spark):
     counter = VocabularyTokens(str(places.path("byte_bpe_50k.tiktoken")), places.PATTERN)
     got = [r.n for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").coalesce(1).select("i", counter.column(F.col("t")).alias("n")).orderBy("i").collect()]
     assert got == [len(model.encode(x).ids) if x else 0 for x in texts]
+
+
+def test_tables_and_articles(spark, tmp_path):
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "pdf/a.pdf").write_bytes(b"one;two")
+    (tmp_path / "pdf/b.pdf").write_bytes(b"")
+    broken = lambda b: 1 / 0
+    start = spark.createDataFrame([], "doc_id string, chunks long")
+    got = readers.pdf_tables(spark, str(tmp_path / "pdf"), [broken, lambda b: b.decode().split(";")], start, 2).collect()
+    assert sorted((r["index"], r.text, r.type) for r in got) == [(0, "on", "table"), (1, "tw", "table")]
+    titles = spark.createDataFrame([("A b",), ("C",), ("A b",), (" ",)], "title string")
+    cache = str(tmp_path / "cache")
+    find = lambda t: {"text": t.lower(), "summary": "s" * 900} if t != "C" else None
+    assert [(r.title, r.text, len(r.summary)) for r in readers.fetched_articles(titles, find, cache).collect()] == [("A b", "a b", 500)]
+    again = readers.fetched_articles(titles, lambda t: {"text": "new"}, cache).collect()
+    assert {r.title: r.text for r in again} == {"A b": "a b", "C": "new"}
+    readers.save_corpus(titles, str(tmp_path / "corpus"))
+    assert readers.load_corpus(spark, str(tmp_path / "corpus")).count() == 4 and readers.title_of("p_Some_title_3") == "Some_title"
