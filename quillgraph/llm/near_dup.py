@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import written
+from quillgraph.llm.common import small_batches, spread_join, written
 from quillgraph.llm.components import components
 from quillgraph.llm.words import MIX_A, U64, WordHashes, joined, mixed
 
@@ -61,7 +61,7 @@ def profiles(docs: DataFrame, width: int, halves: int, rows: int = 2, seed: int
                         digest[i] = f"{sums[0][j]:016x}{sums[1][j]:016x}{sizes[i]:x}"
                 yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": sizes, "digest": digest, "sketch": sketch})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, digest string, sketch array<long>")
+    return small_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, digest string, sketch array<long>")
 
 
 def table_keys(halves: int) -> Column:
@@ -91,7 +91,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = [shingles(t, hashes, width) for t in part["text"]]
                 yield pd.DataFrame({"id": part["doc_id"], "found": [s.tobytes() for s in sets], "bits": [_bits(s) for s in sets]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "id long, found binary, bits array<long>")
+    return small_batches(docs).select("doc_id", "text").mapInPandas(run, "id long, found binary, bits array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,13 +161,13 @@ def _bits_allow(percent: int) -> Column:
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int, halves: int) -> DataFrame:
-    """(id, component) of classes that have a link to another one."""
+    """(a, b): links of classes, enough of them for all components."""
     close = lambda a, b: (F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b))
     keyed = classes.select("id", F.col("n_shingles").alias("n"), F.posexplode(table_keys(halves)).alias("at", "table"))
     buckets = keyed.groupBy("table").agg(F.min(F.struct("id", "n")).alias("leader"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
     members = written(keyed.join(buckets.select("table", F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n")), "table"))
     needed = members.select("id").distinct()
-    sets = written(_sets(docs.join(needed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), width).dropDuplicates(["id"]))
+    sets = written(_sets(docs.join(needed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), width).dropDuplicates(["id", "found"]))
     led = members.filter((F.col("id") != F.col("leader")) & close(F.col("n"), F.col("leader_n"))).select("id", "leader").distinct()
 
     first = led.groupBy("id").agg(F.min("leader").alias("leader"))
@@ -191,21 +191,49 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int,
     across = (F.col("id") < F.col("id_b")) & (F.col("c") != F.col("c_b")) & fits(F.col("shared_b"), F.col("n_b"))
     pairs = rest.join(other, "table").filter(across & _first_table(halves) & _bits_allow(percent))
     last = confirmed(pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")), sets, percent)
-    return components(links.unionByName(last))
+    return links.unionByName(last)
+
+
+def _shared_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between classes that rows of one doc_id with different texts belong to, and the doc_id."""
+    several = rows.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low != high").select("doc_id")
+    held = rows.select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct()
+    return held.join(classes.select("digest", "id"), "digest").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).filter("a != b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, halves: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
     Null and empty texts have no shingles and are linked with nothing, nor are rows without doc_id, which are
-    kept. Rows repeated with one doc_id are one node of the link graph; an empty table gives no rows; other
-    columns are ignored.
+    kept. Rows repeated with one doc_id are one node of the link graph, with the links of all its texts; an
+    empty table gives no rows; other columns are ignored.
     """
     rows = written(profiles(docs, width, halves))
     some = rows.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
-    comp = link_classes(docs, classes, width, percent, halves)
-    found = _labelled(classes.select("digest", "id"), comp, "id", "component").select("digest", "component")
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(found, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    grouped = some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("n"))
+    classes = written(grouped)
+    linked = link_classes(docs, classes, width, percent, halves)
+    comp = components(linked.unionByName(_shared_ids(some, classes)))
+    found = _labelled(classes.select("digest", "id", "n"), comp, "id", "component").select("digest", "component", "n")
+    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    # without shingles or doc_id: no class, and no join
+    alone = out.filter("digest is null").withColumn("component", F.col("doc_id"))
+    held = out.filter("digest is not null")
+    held = spread_join(held, found.select("digest", "component"), ["digest"], found.select("digest", "n"), rows.count(), ["doc_id", "n_shingles"])
+    both = held.select("doc_id", "n_shingles", "component").unionByName(alone.select("doc_id", "n_shingles", "component"))
+    return both.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def oracle(width: int = 3, percent: int = 85) -> str:
+    """The same in DuckDB: all pairs that share a shingle, and what can be reached by links."""
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(width))
+    return rf"""
+with recursive t as (select doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] as w from documents),
+s as (select distinct doc_id, md5(case when len(w) < {width} then array_to_string(w, ' ') else {shingle} end) as g from (select doc_id, w, unnest(range(1, greatest(2, len(w) - {width - 2}))) as i from t where len(w) > 0)),
+z as (select doc_id, count(*) as n from s group by 1),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+l as (select a, b from p join z x on x.doc_id = a join z y on y.doc_id = b where 100 * k >= {percent} * (x.n + y.n - k)),
+e as (select a, b from l union select b, a from l),
+c as (select doc_id as node, doc_id as reach from z union select c.node, e.b from c join e on c.reach = e.a)
+select documents.doc_id, coalesce(n, 0) as n_shingles, coalesce(m, documents.doc_id) as component_id, coalesce(m, documents.doc_id) = documents.doc_id as kept
+from documents left join z using (doc_id) left join (select node as doc_id, min(reach) as m from c group by 1) using (doc_id)"""
