@@ -136,8 +136,8 @@ def rich_patterns_any(text) -> Column:
     return F.array_join(F.concat(caps, quoted, bullets), " | ")
 
 
-#: Runs of capitalised words, as Unicode has word ends. Fixed value.
-CAPITALISED = rf"{_NOT_AFTER}[A-Z][a-z]*(?:{_SPACE}+[A-Z][a-z]*)*{_NOT_BEFORE}"
+#: Runs of capitalised words, as Unicode has word ends; what comes before is looked at behind a capital only.
+CAPITALISED = rf"[A-Z](?<![\p{{L}}\p{{N}}_][A-Z])[a-z]*(?:{_SPACE}+[A-Z][a-z]*)*{_NOT_BEFORE}"
 
 
 def sample_key(text) -> Column:

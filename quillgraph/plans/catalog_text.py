@@ -153,10 +153,11 @@ def context_rows(spark, sf_dir, p: DataFrame) -> DataFrame:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    words = C.words_of(F.col("text"))
+    # counted without arrays of words: all letters of words are all characters but white space
+    words, letters = F.regexp_count("text", F.lit(r"\S+")), F.length(F.translate("text", " \t\n\x0b\f\r", ""))
     caps = F.length("text") - F.length(F.translate("text", _LOW.upper(), ""))
     names = F.regexp_count("text", F.lit(C.CAPITALISED))
-    base = docs.select("doc_id", "text", F.length("text").alias("chars"), F.size(words).alias("words"), F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)).alias("letters"), caps.alias("caps"), names.alias("names"), F.regexp_count("text", F.lit("[.!?]+")).alias("sentences"))
+    base = docs.select("doc_id", "text", F.length("text").alias("chars"), words.alias("words"), letters.alias("letters"), caps.alias("caps"), names.alias("names"), F.regexp_count("text", F.lit("[.!?]+")).alias("sentences"))
     complexity = F.try_divide("letters", "words") * F.try_divide("caps", "chars") + F.try_divide("names", "words")
     return base.select("doc_id", "chars", "words", "sentences", F.round(F.coalesce(complexity, F.lit(0.0)), 6).alias("complexity"))
 
