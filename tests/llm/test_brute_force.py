@@ -23,12 +23,32 @@ def texts(docs):
     return {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
 
 
-def test_suffix_dedup(spark):
-    rng = random.Random(5)
-    shared = ["".join(rng.choice("abcé ") for _ in range(n)) for n in (49, 50, 51, 80, 300)]
-    texts = {i: "".join(rng.choice(shared) if rng.random() < 0.4 else "".join(rng.choice("abcdef ") for _ in range(rng.randrange(90))) for _ in range(6)) for i in range(60)}
-    texts |= {100: "a" * 200, 101: "b" + "a" * 120, 102: "ab" * 60, 103: "ba" * 60}
-    got = {r.doc_id: r for r in suffix_dedup.removed_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), block_docs=3).collect()}
+def test_suffix_order_is_the_sorted_order():
+    import numpy as np
+
+    rng = random.Random(8)
+    text = bytes(rng.choice(b"ab") for _ in range(900)) + b"ab" * 80 + bytes(8)
+    buffer = np.frombuffer(text, dtype=np.uint8)
+    at = np.arange(len(text) - 58)
+    order, new = suffix_dedup.suffix_order(buffer, at, 50)
+    strings = [text[i : i + 50] for i in at[order].tolist()]
+    assert strings == sorted(strings) and new.tolist() == [True, *(a != b for a, b in zip(strings, strings[1:]))]
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_suffix_dedup_of_a_common_trigger(spark, copies):
+    """One gram in many contexts, texts that repeat it and end within it."""
+    rng = random.Random(copies)
+    gram = "~the very common gram~"
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    left, right = [word(30) for _ in range(5)], [word(30) for _ in range(5)]
+    texts = {i: (rng.choice(left) + gram + rng.choice(right)) * rng.randrange(1, 4) + word(rng.randrange(30)) for i in range(60)}
+    texts |= {100 + i: texts[3] for i in range(copies)}
+    _against_brute_force(spark, texts, 7)
+
+
+def _against_brute_force(spark, texts, block_docs):
+    got = {r.doc_id: r for r in suffix_dedup.removed_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), block_docs=block_docs).collect()}
     first: dict[bytes, int] = {}
     for i in sorted(texts):
         b = texts[i].encode()
@@ -41,6 +61,14 @@ def test_suffix_dedup(spark):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_dedup(spark):
+    rng = random.Random(5)
+    shared = ["".join(rng.choice("abcé ") for _ in range(n)) for n in (49, 50, 51, 80, 300)]
+    texts = {i: "".join(rng.choice(shared) if rng.random() < 0.4 else "".join(rng.choice("abcdef ") for _ in range(rng.randrange(90))) for _ in range(6)) for i in range(60)}
+    texts |= {100: "a" * 200, 101: "b" + "a" * 120, 102: "ab" * 60, 103: "ba" * 60}
+    _against_brute_force(spark, texts, 3)
+
+
 def _components(sets, percent):
     parent = {i: i for i in sets}
 
@@ -82,6 +110,18 @@ def test_near_duplicates(spark):
     assert all(got[d].n_shingles == len(_shingles(t, 3)) and got[d].kept == (want[d] == d) for d, t in rows)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(6)
+    one, two = ([f"w{rng.randrange(10**6)}" for _ in range(101)] for _ in range(2))
+    near = [*two[:50], "other", *two[51:]]
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (3, " ".join(near)), (4, " ".join(one)), (5, "apart from all the others")]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 3: 1, 4: 1, 5: 5}
+    rows = [(7, " ".join(one)), (8, " ".join(one)), (8, " ".join(two)), (9, " ".join(two))]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(7, 7, True), (8, 7, False), (8, 7, False), (9, 7, False)]
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -108,7 +148,7 @@ def test_edit_distance_band():
 
 def test_line_dedup(spark):
     rng = random.Random(4)
-    base = ["".join(rng.choice("abc ") for _ in range(rng.randrange(20, 45))) for _ in range(30)]
+    base = ["".join(rng.choice("abc ") for _ in range(rng.randrange(8, 45))) for _ in range(30)]
 
     def edited():
         line = list(rng.choice(base))
@@ -119,10 +159,11 @@ def test_line_dedup(spark):
 
     rows = [(d, "\n".join(edited() for _ in range(rng.randrange(5)))) for d in range(40)]
     got = {r.doc_id: r.removed for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    lines = [(d, i, x) for d, t in rows for i, x in enumerate(t.split("\n")) if len(x) >= 20 and len(x.strip()) >= 20]
+    lines = [(d, i, x) for d, t in rows for i, x in enumerate(t.split("\n")) if x.strip()]
+    able = lambda x: len(x.strip()) >= 20
     gone = collections.defaultdict(list)
     for k, (d, i, x) in enumerate(lines):
-        if any(abs(len(x) - len(y)) <= 2 and _distance(x, y) <= 2 for _, _, y in lines[:k]):
+        if any(x == y or (able(x) and able(y) and abs(len(x) - len(y)) <= 2 and _distance(x, y) <= 2) for _, _, y in lines[:k]):
             gone[d].append(str(i))
     assert got == {d: ",".join(gone[d]) for d, _ in rows}
 
@@ -141,6 +182,46 @@ def test_prefix_forest_recall(spark, sf_dir):
     assert max(r["rank"] for r in rows) == 20 and all(r.query_id % 20 == 0 and r.query_id != r.vec_id for r in rows)
 
 
+def _recall(x, rows, k=20):
+    import numpy as np
+
+    queries = np.arange(0, len(x), 20)
+    exact = x[queries] @ x.T
+    exact[np.arange(len(queries)), queries] = -np.inf
+    best = {q: set(np.argsort(-row)[:k].tolist()) for q, row in zip(queries.tolist(), exact)}
+    assert {r.query_id for r in rows} == set(best) and all(abs(r.score - x[r.query_id] @ x[r.vec_id]) < 1e-9 for r in rows)
+    return sum(r.vec_id in best[r.query_id] for r in rows) / (k * len(queries)), sum(r.scored for r in rows if r["rank"] == 1) / len(queries) / len(x)
+
+
+def test_prefix_forest_over_several_shards(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for lengths in (False, True):  # inner products follow angles only while all norms are equal
+        centres = rng.standard_normal((400, 24))
+        x = centres[rng.integers(0, 400, 16_000)] + 0.35 * rng.standard_normal((16_000, 24))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        if lengths:
+            x *= rng.uniform(0.5, 1.0, size=(len(x), 1))
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+        recall, share = _recall(x, neighbours.nearest(frame, shard=4000).collect())
+        assert recall >= 0.9 and share < 0.25
+        recall, share = _recall(x, neighbours.nearest(frame, shard=4000, enough=8.0).collect())
+        assert share < 0.1 and (lengths or recall >= 0.9)
+
+
+def test_prefix_forest_work_grows_below_the_square():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    shares = []
+    for n in (2_000, 8_000, 32_000):
+        x = rng.standard_normal((n, 32))
+        found = neighbours.search(np.arange(n), x, np.arange(0, 2000, 50), x[:2000:50])
+        shares.append(found[found.scored > 0].scored.mean() / n)
+    assert shares[0] > 1.5 * shares[1] > 2 * shares[2] and shares[2] < 0.2
+
+
 def test_prefix_forest_counts_repeated_rows_once(spark):
     rng = random.Random(3)
     vector = lambda: [rng.gauss(0, 1) for _ in range(8)]
@@ -163,7 +244,6 @@ def test_packing_round_trip(docs, texts):
     tokenizers = pytest.importorskip("tokenizers")
     places = pytest.importorskip("public_tokenizers")
     model = tokenizers.Tokenizer.from_file(places.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     rows = [r.asDict() for r in packing.pack_documents(docs, group_docs=64).collect()]
     bins, by_doc = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -237,6 +317,22 @@ def test_mixing_targets(spark, docs, texts):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix_sources(docs).collect()), key=str)
 
 
+def test_shard_counts_are_draws_that_meet_the_targets(spark):
+    from pyspark.sql import functions as F
+
+    sources = [("a", 50_000 * 128, 1.0), ("b", 9_000 * 128, 1.0), ("c", 30 * 128, 1.0), (None, 1_000 * 128, 1.0)]
+    targets = spark.createDataFrame([(s, n, float(n)) for s, n, _ in sources], "source string, source_size long, target double")
+    slots = mixing.source_slots(targets, 128)
+    drawn = mixing.drawn_counts(slots, 1024, 17).collect()
+    share = 50_000 / 60_030
+    full = [r["count"] for r in drawn if r.skey == "sa" and r.shard < 58]
+    spread = sum((n - 1024 * share) ** 2 for n in full) / len(full)
+    assert len(full) == 58 and 0.5 < spread / (1024 * share * (1 - share)) < 1.7  # as binomial draws vary, not fixed counts
+    counts = mixing.shard_counts(slots, 1024, 17)
+    by = {r.skey: (r.n, r.lo, r.hi) for r in counts.groupBy("skey").agg(F.sum("count").alias("n"), F.min("offset").alias("lo"), F.max(F.col("offset") + F.col("count")).alias("hi")).collect()}
+    assert by == {"sa": (50_000, 0, 50_000), "sb": (9_000, 0, 9_000), "sc": (30, 0, 30), "null": (1_000, 0, 1_000)}
+
+
 def test_permutation_is_a_bijection(spark):
     from pyspark.sql import functions as F
 

@@ -108,13 +108,21 @@ def test_licenses_and_secrets(spark, docs):
     assert sec[3].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
-def test_secret_ledger_scans_only_the_unseen(spark):
-    old = spark.createDataFrame([(1, "AKIA" + "A" * 16), (2, "plain")], "doc_id long, text string")
-    found = secrets.update_ledger(old)
-    ledger = spark.createDataFrame(found.collect(), found.schema)
-    both = old.union(spark.createDataFrame([(3, "AKIA" + "B" * 16)], old.schema))
-    assert secrets.update_ledger(both, ledger).count() == 1
-    assert {r.doc_id: r.n_access for r in secrets.find_secrets(both, ledger).collect()} == {1: 1, 2: 0, 3: 1}
+def test_secret_ledger_scans_only_the_unseen(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    files = lambda: {str(p) for p in tmp_path.glob("ledger/part-*.parquet")}
+    schema = "doc_id long, text string"
+    old = spark.createDataFrame([(1, "AKIA" + "A" * 16), (2, "plain"), (3, "plain")], schema)
+    assert {r.doc_id: r.n_access for r in secrets.find_secrets(old, path).collect()} == {1: 1, 2: 0, 3: 0}
+    assert secrets.read_ledger(spark, path).count() == 2
+    assert secrets.update_ledger(old, secrets.read_ledger(spark, path)).count() == 0
+    # a ledger's word counts: a known blob isn't scanned again
+    spark.read.parquet(path).withColumn("spans", F.slice("spans", 1, 0)).write.parquet(path + "2")
+    assert {r.doc_id: r.n_access for r in secrets.find_secrets(old, path + "2").collect()} == {1: 0, 2: 0, 3: 0}
+    before = files()
+    both = old.union(spark.createDataFrame([(4, "AKIA" + "B" * 16)], schema))
+    assert {r.doc_id: r.n_access for r in secrets.find_secrets(both, path).collect()} == {1: 1, 2: 0, 3: 0, 4: 1}
+    assert secrets.read_ledger(spark, path).count() == 3 and before <= files()
 
 
 def test_lines(spark, docs):
@@ -122,11 +130,33 @@ def test_lines(spark, docs):
     assert got[1].n_removed == 0 and got[2].removed == "0,1" and got[3].n_lines == 0 and got[4].n_lines == 1
     kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
     assert kept[2] == "" and kept[3] is None and kept[1] == ROWS[0][1]
+    assert got[2].stays == "1:0,1:1" and got[1].stays == ""
+
+
+def test_short_lines_go_only_if_equal(spark):
+    rows = [(1, "abc\nabd\n\n}\nabc"), (2, "abc \n}\n\nabe"), (2, "}\nnew"), (3, None)]
+    out = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.n_lines, r.removed, r.stays) for r in out) == collections.Counter([(1, 5, "4", "1:0"), (2, 4, "1", "1:3"), (2, 2, "0", "1:3"), (3, 0, "", "")])
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ("removed", "copies", "copy", "t", "line_no", "h", "n", "share", "size", "taken", "_shorter", "score", "of", "x.y")
+    rows = [(1, "a plain line of many words here\nmore", "a"), (2, "a plain line of many words here\nmore of it", "a"), (2, "a plain line of many words here\nmore of it", "a"), (None, "lone", None), (3, None, "b"), (4, "", "b")]
+    d = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in names})
+    lines = line_dedup.dedup_lines(d, drop_blank=True)
+    assert lines.columns == d.columns and {r.text for r in lines.collect()} == {rows[0][1], "more of it", "lone", None, ""}
+    mixed = mixing.mixed_documents(d)
+    assert mixed.columns == d.columns and mixed.collect() and all(r["copy"] == r["copies"] == r["x.y"] == "clash" for r in mixed.collect())
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    assert toxicity.without_toxic(d, labels).columns == d.columns
+    assert mixing.mixed_documents(d.limit(0)).collect() == line_dedup.dedup_lines(d.limit(0)).collect() == []
 
 
 def test_neighbours(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.5, 0.5]), (2, [0.5, 0.5]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (3, [0.5, 0.5])]
-    got = [tuple(r) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect()]
+    got = [tuple(r)[:4] for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 20, 1.0), (0, 2, 2, 0.5), (0, 3, 3, 0.5), (20, 1, 0, 1.0), (20, 2, 2, 0.5), (20, 3, 3, 0.5)]
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+    clash = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("clash") for c in ("dim", "shard", "block", "score", "rank", "scored", "query_id", "label")})
+    assert [tuple(r)[:4] for r in neighbours.nearest(clash).orderBy("query_id", "rank").collect()] == got
