@@ -7,6 +7,7 @@ import os
 import statistics
 import time
 
+from quillgraph.operators.storage import released
 from quillgraph.plans import catalog
 from quillgraph.session import get_session
 
@@ -27,6 +28,7 @@ def main(runs: int = 3) -> None:
             began = time.perf_counter()
             catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - began)
+            released(spark)
         took[name] = round(statistics.median(times), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "catalogue headline queries, sum of medians", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))

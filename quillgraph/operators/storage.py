@@ -25,9 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def table_path(spark: SparkSession) -> str:
+    """A new place below the folder of this application's intermediate tables."""
+    return f"{_own(spark)}/{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/quillgraph-{spark.sparkContext.applicationId}"
+
+
+def released(spark: SparkSession) -> bool:
+    """Remove this application's intermediate tables, once what was built on them is written or collected."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """df written and read again: lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """df written and read again: lineage ends here. The table stays until `released`."""
+    path = table_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -57,6 +57,14 @@ def test_budgets(spark):
     assert sorted((r.o, r.bin) for r in budget_fold(rows, 10, "o", "tokens", "bins", "p").collect()) == [(0, 0), (1, 1), (2, 2), (3, 2)]
 
 
+def test_intermediate_tables_go_when_released(spark):
+    from quillgraph.operators.storage import released, saved
+
+    assert saved(spark.range(3)).count() == 3
+    assert released(spark) and not released(spark)
+    assert saved(spark.range(4)).count() == 4
+
+
 def test_budget_laws_over_blocks(spark):
     import random
 
