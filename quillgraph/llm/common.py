@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators.storage import shared_dir
+from quillgraph.operators.storage import saved
 
 #: Runs of anything but the ASCII space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,10 +16,7 @@ BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillgraph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return saved(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,14 +1,19 @@
 """Secret scans over a ledger of content-addressed blobs (native).
 
 Every version of every file is named by the SHA-256 of its text. Only (blob, rule version) pairs that the
-ledger does not hold are scanned, each distinct blob once; findings are then joined back to all paths.
+ledger does not hold are scanned, each distinct blob once, and appended to it; findings are then joined back to
+all paths.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import spread_join, written
+from quillgraph.operators.storage import table_path
+
 _EITHER = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
 
 #: kind: (pattern, group whose length counts, least length). Listed order is the order of spans that start together.
@@ -70,6 +75,7 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, key: str = "
 
     Equal texts meet map-side first, so a text that a third of all rows hold is shuffled once per task.
     """
+    # grouped before it is held against the ledger: the join would move every copy of a text
     versions = addressed(docs, key, text).groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is not None:
         known = ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob")
@@ -77,25 +83,48 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, key: str = "
     return scan_blobs(versions)
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger's table; without a row where nothing was ever written to it."""
+    schema = f"blob string, rule_version string, spans {_SPANS}"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def keep_ledger(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Scan what the ledger at `path` lacks, append it there and return the whole ledger.
+
+    The ledger is a Parquet table that grows by one commit a call; a pair of blob and rule version is in it once.
+    A call whose texts are all known scans nothing and appends nothing.
+    """
+    spark = docs.sparkSession
+    new = update_ledger(docs, read_ledger(spark, path), key, text)
+    new.write.mode("append").parquet(path)
+    return read_ledger(spark, path)
+
+
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans: one row per input row.
 
+    `path` is the folder of a standing ledger; without one, the ledger is a new table in the shared folder.
     Null and empty texts have no spans; rows repeated with one doc_id each get their row; an empty table
     gives none; other columns are ignored, whatever their names.
     """
-    new = update_ledger(docs, ledger)
-    if ledger is not None:
-        new = new.unionByName(ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "spans"))
+    ledger = keep_ledger(docs, path or table_path(docs.sparkSession)).filter(F.col("rule_version") == RULE_VERSION)
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    digest = new.filter(F.size("spans") > 0).select("blob", *[of(k).alias(f"n_{k}") for k in BASE], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
-    paths = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
+    digest = ledger.filter(F.size("spans") > 0).select("blob", *[of(k).alias(f"n_{k}") for k in BASE], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    paths = written(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"), F.monotonically_increasing_id().alias("rid")))
     empty = {"base_sha256": F.sha2(F.lit(""), 256), "spans": F.lit("")} | {f"n_{k}": F.lit(0).cast("long") for k in BASE}
-    joined = paths.join(digest, "blob", "left")
+    copies = paths.groupBy("blob").agg(F.count(F.lit(1)).alias("n"))
+    joined = spread_join(paths, digest, ["blob"], copies, paths.count(), ["rid"], "left")
     return joined.select("doc_id", *[F.coalesce(c, empty[c]).alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
 
 
