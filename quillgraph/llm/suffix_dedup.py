@@ -361,6 +361,8 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block
             yield pd.DataFrame({"doc_id": None, "n_bytes": [len(e) for e in encoded], "n_removed": 0, "n_spans": 0, "kept_sha256": [hashlib.sha256(e).hexdigest() for e in encoded]})
 
     some = small_batches(docs).select("doc_id", "text").filter("doc_id is not null").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    # about one block a task, as long as that doesn't make many more tasks than the session's shuffles have
+    some = some.repartition(min(blocks, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
     packed = "bucket long, block long, packed binary"
     replied = "block long, bucket long, packed binary"
     # replies are small and written, so that a lost executor's blocks needn't be parsed and sorted again for them
