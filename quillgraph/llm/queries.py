@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import licenses, line_dedup, line_quality, mixing, near_dup, neighbours, packing, secrets, suffix_dedup, toxicity
+from quillgraph.llm import licenses, line_dedup, line_quality, mixing, near_dup, neighbours, packing, prefix_trie, secrets, suffix_dedup, toxicity
 from quillgraph.llm.common import table
 
 
@@ -56,13 +56,18 @@ def op10_secret_ledger(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark, sf_dir):
+    """Every node of the trie of rebuilt conversations; see `prefix_trie`."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_quality, op2_prefix_free_dedup, op3_prefix_forest, op4_sum_of_squares_packing, op5_mix_sources,
-        op6_toxicity, op7_license_scan, op8_minhash_near_dup, op9_line_dedup, op10_secret_ledger,
+        op6_toxicity, op7_license_scan, op8_minhash_near_dup, op9_line_dedup, op10_secret_ledger, op13_prefix_trie,
     )
 }
 
 #: The others train a model, hash or tokenise; tests hold them against brute force.
-ORACLE_SQL = {"op2_prefix_free_dedup": suffix_dedup.oracle(), "op8_minhash_near_dup": near_dup.oracle(), "op10_secret_ledger": secrets.oracle()}
+ORACLE_SQL = {"op2_prefix_free_dedup": suffix_dedup.oracle(), "op8_minhash_near_dup": near_dup.oracle(), "op10_secret_ledger": secrets.oracle(), "op13_prefix_trie": prefix_trie.oracle()}
