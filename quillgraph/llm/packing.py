@@ -42,7 +42,7 @@ class Encoder:
     fast: in this vocabulary a token's id is its merge's rank.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, end: int = END_OF_TEXT):
         import tiktoken
 
         if path is None:
@@ -55,7 +55,7 @@ class Encoder:
         letter = _byte_of_letter()
         ranks = {bytes(letter[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding("byte level", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=special)
-        self.end = END_OF_TEXT.to_bytes(4, "little")
+        self.end = end.to_bytes(4, "little")
 
     def __call__(self, text: str | None) -> bytes:
         return np.array(self.encoding.encode(text or "", allowed_special="all"), dtype="<u4").tobytes() + self.end

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import licenses, line_dedup, line_quality, mixing, near_dup, neighbours, packing, prefix_trie, secrets, suffix_dedup, toxicity
+from quillgraph.llm import histogram_packing, licenses, line_dedup, line_quality, mixing, near_dup, neighbours, packing, prefix_trie, runs, secrets, suffix_dedup, toxicity
 from quillgraph.llm.common import table
 
 
@@ -56,6 +56,16 @@ def op10_secret_ledger(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    """Every document's runs of repeating words, after one document in ten was made periodic; see `periodic_runs`."""
+    return runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+def op12_histogram_packing(spark, sf_dir):
+    """Every document's token pieces in sequences of at most 2048; see `pack_by_histogram`."""
+    return histogram_packing.pack_by_histogram(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark, sf_dir):
     """Every node of the trie of rebuilt conversations; see `prefix_trie`."""
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
@@ -65,7 +75,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_quality, op2_prefix_free_dedup, op3_prefix_forest, op4_sum_of_squares_packing, op5_mix_sources,
-        op6_toxicity, op7_license_scan, op8_minhash_near_dup, op9_line_dedup, op10_secret_ledger, op13_prefix_trie,
+        op6_toxicity, op7_license_scan, op8_minhash_near_dup, op9_line_dedup, op10_secret_ledger, op11_periodic_runs, op12_histogram_packing, op13_prefix_trie,
     )
 }
 
