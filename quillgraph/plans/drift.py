@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.columns import cosine
 from quillgraph.functions.jsonrepair import repaired
 from quillgraph.models import Settings, expanded, route
+from quillgraph.plans.indexes import nearest
 from quillgraph.plans.retrieve import ask, retriever
 
 
@@ -162,8 +163,12 @@ def explore(graph, question: str, settings: Settings, depth: int = 2, at_once: i
 
 def relevant_reports(graph, question: str, settings: Settings, k: int = 10):
     """Reports with a summary by cosine with the expanded question; ties by level, then rank."""
-    spark = graph["reports"].sparkSession
     wide = expanded(question, settings.model, primer_context(graph, 1))
+    if "reports" in settings.indexes:  # as many as might tie with the last one, then the table's order
+        best = nearest(graph, "reports", wide, settings, 2 * k).select(F.col("id").alias("community"), F.col("cosine").alias("similarity"))
+        scored = graph["reports"].join(F.broadcast(best), "community")
+        return scored.orderBy(F.desc("similarity"), "level", F.desc(F.coalesce("rank", F.lit(1))), "community").limit(k)
+    spark = graph["reports"].sparkSession
     q = spark.createDataFrame([(wide,)], "text string").select(settings.embedder.column(F.col("text")).alias("q"))
     some = graph["reports"].filter(F.length("summary") > 0).withColumn("e", settings.embedder.column(F.col("summary")))
     scored = some.crossJoin(F.broadcast(q)).withColumn("similarity", cosine("e", "q")).drop("e", "q")
