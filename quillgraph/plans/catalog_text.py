@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import columns as C
 from quillgraph.operators import graph as G
+from quillgraph.operators import text_index as TI
+from quillgraph.operators import vector_index as VI
 from quillgraph.operators.budget import budget_fold, running_sums
 from quillgraph.operators.chunking import chunks
 from quillgraph.operators.quantiles import quantiles
-from quillgraph.operators.storage import saved
-from quillgraph.plans.catalog import _CO, part_mentions, query, t
+from quillgraph.operators.storage import saved, table_path
+from quillgraph.plans.catalog import _CO, ORACLE_SQL, part_mentions, query, t
 
 _DOCS = "d as (select doc_id, text, coalesce(length(text), 0) // 4 as tokens from documents)"
 _LOW = "abcdefghijklmnopqrstuvwxyz"
@@ -108,6 +110,27 @@ def hybrid_union_topk(spark, sf_dir):
     return both.groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
+@query(ORACLE_SQL["bm25_topk"])
+def indexed_bm25_topk(spark, sf_dir):
+    """bm25_topk from a stored inverted index, of which only blocks that can matter are read."""
+    path = table_path(spark)
+    TI.build(t(spark, sf_dir, "documents"), path)
+    found = TI.scored(spark, path, ["clown", "license"], 10)[0]
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+@query(ORACLE_SQL["hybrid_union_topk"])
+def indexed_hybrid_topk(spark, sf_dir):
+    """hybrid_union_topk from both stored indexes: a document that is among the ten best by either is looked at."""
+    e, texts, near = t(spark, sf_dir, "embeddings"), table_path(spark), table_path(spark)
+    TI.build(t(spark, sf_dir, "documents"), texts)
+    VI.build(e, near)
+    q = e.filter("vec_id = 3").select(F.lit(0).alias("query_id"), F.col("embedding").alias("q"))
+    both = VI.search(spark, near, q, 10, probes="all").select(F.col("id").alias("doc_id"), "score")
+    both = both.unionByName(TI.scored(spark, texts, ["clown", "license"], 10)[0].withColumnRenamed("id", "doc_id"))
+    return both.groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
 # ---- budgets and contexts
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.models import Settings
+from quillgraph.operators import text_index as TI
 from quillgraph.operators import vector_index as VI
 from quillgraph.operators import vectors as V
 
@@ -44,6 +45,25 @@ def current(vectors: DataFrame, path: str, dim: int | None = None) -> bool:
     return True
 
 
+def names_of(graph: dict[str, DataFrame]) -> DataFrame:
+    """doc_id, text: what the full-text index of entities holds."""
+    e = graph["entities"]
+    told = F.concat_ws(" ", "name", "description") if "description" in e.columns else F.col("name")
+    return e.select(F.col("id").alias("doc_id"), told.alias("text"))
+
+
+def current_names(names: DataFrame, path: str) -> bool:
+    """A text index at `path` that holds these entities; whether it had to be built. Entities that came are added,
+    those that went make it be built anew."""
+    found = TI.status(names.sparkSession, path, names)
+    if len(found) == 1 and found[0].endswith("lacking"):
+        TI.added(names, path)
+        return False
+    if found:
+        TI.build(names, path)
+    return bool(found)
+
+
 def indexed(graph: dict[str, DataFrame], root: str, settings: Settings) -> Settings:
     """Settings whose searches read the indexes below `root`, which are brought up to date first."""
     paths = {}
@@ -51,6 +71,9 @@ def indexed(graph: dict[str, DataFrame], root: str, settings: Settings) -> Setti
         if name in graph and not (rows := vectors_of(graph, name, settings)).isEmpty():
             current(rows, f"{root}/{name}", settings.embedder.dim)
             paths[name] = f"{root}/{name}"
+    if "entities" in graph:
+        current_names(names_of(graph), f"{root}/names")
+        paths["names"] = f"{root}/names"
     return replace(settings, indexes=paths)
 
 

@@ -28,8 +28,12 @@ def settings(spark, graph):
 
 
 def test_indexes_are_built_once_and_follow_the_tables(spark, graph, settings):
-    assert set(settings.indexes) == {"chunks", "entities", "reports"}
-    for name, path in settings.indexes.items():
+    assert set(settings.indexes) == {"chunks", "entities", "reports", "names"}
+    names = indexes.names_of(graph)
+    assert not indexes.current_names(names, settings.indexes["names"])
+    assert indexes.current_names(names.limit(2), settings.indexes["names"]) and not indexes.current_names(names, settings.indexes["names"])
+    for name in indexes.KEYS:
+        path = settings.indexes[name]
         rows = indexes.vectors_of(graph, name, settings)
         assert VI.problems(spark, path, rows, dim=64) == [] and not indexes.current(rows, path, 64)
     some, where = indexes.vectors_of(graph, "chunks", settings), table_path(spark)
@@ -42,7 +46,8 @@ def test_indexes_are_built_once_and_follow_the_tables(spark, graph, settings):
 def test_retrievers_read_the_indexes(graph, settings, monkeypatch):
     scanned = {name: retrieve.ask(name, graph, "Marie Curie and Polonium Metal", Settings()) for name in ("vector", "store", "graph", "hybrid", "local")}
     reports = [r.community for r in drift.relevant_reports(graph, "Marie Curie", Settings(), 3).collect()]
-    monkeypatch.setattr("quillgraph.operators.vectors.top_k", lambda *a: pytest.fail("a scan"))
+    for scan in ("quillgraph.operators.vectors.top_k", "quillgraph.plans.catalog_text.bm25"):
+        monkeypatch.setattr(scan, lambda *a: pytest.fail("a scan"))
     for name, want in scanned.items():
         got = retrieve.ask(name, graph, "Marie Curie and Polonium Metal", settings)
         assert got["error"] is None and len(got["retrieval_details"]) >= 1
