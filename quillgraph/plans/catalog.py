@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators import graph as G
+from quillgraph.operators import paths as P
 from quillgraph.operators import vector_index as VI
 from quillgraph.operators import vectors as V
 from quillgraph.operators.components import connected, triage
+from quillgraph.operators.editjoin import near_strings
 from quillgraph.operators.storage import table_path
 
 QUERIES: dict = {}
@@ -172,6 +174,12 @@ def edit_distance_groups(spark, sf_dir):
     return near.filter("distance >= 0").select(F.col("name").alias("a"), F.col("other").alias("b"), "distance")
 
 
+@query("with n as (select distinct lower(p_name) as name from part where length(p_name) > 4) select x.name as a, y.name as b, levenshtein(x.name, y.name) as distance from n x join n y on x.name < y.name and levenshtein(x.name, y.name) < 3")
+def near_names(spark, sf_dir):
+    """Names of more than four characters within two edits, by what is left when characters are deleted."""
+    return near_strings(t(spark, sf_dir, "part").filter(F.length("p_name") > 4).select(F.lower("p_name").alias("name")), "name")
+
+
 # ---- edges
 
 
@@ -346,10 +354,7 @@ def quantified_path_0_2(spark, sf_dir):
 
 def within_two_hops(e: DataFrame) -> DataFrame:
     """node, hops: nodes that at most two of the edges lead to from node 1."""
-    one = e.filter("a = 1").select(F.lit(1).alias("hops"), F.col("b").alias("node"))
-    two = one.select(F.col("node").alias("a")).join(e, "a").filter("b <> 1").select(F.lit(2).alias("hops"), F.col("b").alias("node"))
-    zero = e.sparkSession.range(1, 2).select(F.lit(0).alias("hops"), F.col("id").alias("node"))
-    return zero.unionByName(one).unionByName(two).groupBy("node").agg(F.min("hops").alias("hops"))
+    return P.closure(e, e.sparkSession.range(1, 2).withColumnRenamed("id", "node"), most=2).select("node", "hops")
 
 
 # ---- communities
@@ -382,12 +387,41 @@ def parent_links(spark, sf_dir):
 @query(f"with {_PATH}, l as (select distinct '0-' || l0 as child, '1-' || l1 as parent from path) select child as node, child as ancestor, 0 as hops from (select child from l union select parent from l) union all select child, parent, 1 from l")
 def ancestor_closure(spark, sf_dir):
     links = parent_links(spark, sf_dir)
-    reached = links.select(F.col("child").alias("node")).union(links.select("parent")).distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).alias("hops"))
-    closure, up = reached, reached
-    for hop in range(1, 3):  # paths here have two levels; one more round finds nothing new
-        up = up.join(links, up["ancestor"] == links["child"]).select("node", F.col("parent").alias("ancestor"), F.lit(hop).alias("hops"))
-        closure = closure.unionByName(up)
-    return closure
+    return ancestors(links)
+
+
+def ancestors(links: DataFrame, most: int | None = None) -> DataFrame:
+    """node, ancestor, hops: every node of the links (child, parent) with itself and all above it."""
+    nodes = links.select(F.col("child").alias("node")).union(links.select("parent"))
+    return P.closure(links.select(F.col("child").alias("a"), F.col("parent").alias("b")), nodes, most).select(F.col("start").alias("node"), F.col("node").alias("ancestor"), "hops")
+
+
+def lineage(spark, sf_dir) -> DataFrame:
+    """child, parent: a hierarchy of as many levels as the parts' numbers can be halved, with more than one way up."""
+    key = F.col("p_partkey").cast("long")
+    up = t(spark, sf_dir, "part").select(key.alias("child"), F.explode(F.array(F.floor(key / 2), F.floor(key / 3))).alias("parent"))
+    return up.filter("parent >= 1").distinct()
+
+
+_LINEAGE = "l as (select p_partkey as child, p_partkey // 2 as parent from part where p_partkey >= 2 union select p_partkey, p_partkey // 3 from part where p_partkey >= 3)"
+
+
+@query(f"with recursive {_LINEAGE}, n as (select child as node from l union select parent from l), r as (select node, node as ancestor, 0 as hops from n union select r.node, parent, hops + 1 from r join l on ancestor = child) select node, ancestor, min(hops) as hops from r group by 1, 2")
+def lineage_closure(spark, sf_dir):
+    """Every part's ancestors by the fewest steps, whatever the number of levels."""
+    return ancestors(lineage(spark, sf_dir))
+
+
+@query(
+    f"""with recursive {_LINEAGE}, {_SEED}, b as (select child as x, parent as y, child || '-' || parent as edge from l union all select parent, child, child || '-' || parent from l),
+    r as (select e as start, e as node, 0 as hops, []::varchar[] as gone, e::varchar as nodes from s union all select r.start, b.y, hops + 1, list_append(gone, edge), nodes || ',' || b.y from r join b on r.node = b.x where hops < 5 and not list_contains(gone, edge))
+    select start, node, hops, nodes from r where hops >= 2"""
+)
+def quantified_path_2_5(spark, sf_dir):
+    """All paths of two to five edges from the seeds that go over no edge twice."""
+    edges = lineage(spark, sf_dir).select(F.col("child").alias("a"), F.col("parent").alias("b"))
+    found = P.trails(edges, seeds(spark, sf_dir).withColumnRenamed("entity", "node"), 2, 5)
+    return found.withColumn("nodes", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ","))
 
 
 @query(f"with {_PATH}, {_SM} select '0-' || l0 as community, count(distinct c) as community_rank, count(distinct c) as weight from path join m using (e) group by 1")
