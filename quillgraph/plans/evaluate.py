@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import columns as C
 from quillgraph.models import PRESETS, Settings
+from quillgraph.plans.contexts import plain_sentences
 from quillgraph.sources import readers
 
 #: What an answer's contexts are when there are none, and when its retriever failed. Fixed values.
@@ -90,7 +91,7 @@ def judged(records: DataFrame, settings: Settings) -> DataFrame:
     ok = F.col("error").isNull()
     score = lambda x: F.when(ok, F.greatest(F.lit(0.0), F.nanvl(x, F.lit(0.0)))).otherwise(0.0)
     wide = records.withColumns({"_q": vector("question"), "_a": vector("response"), "_r": vector("reference"), "_short": C.short_answer(F.col("response"))})
-    context = F.array_join("retrieved_contexts", " ")
+    context = F.array_join(F.transform("retrieved_contexts", plain_sentences), " ")
     out = {
         "response_relevancy": score(C.cosine("_a", "_q")),
         "factual_correctness": score(C.token_f1(F.col("response"), F.col("reference"))),

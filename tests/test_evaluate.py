@@ -94,9 +94,13 @@ def test_contexts(spark):
     with pytest.raises(ValueError):
         contexts.shares(10, 0.6, 0.5)
     text = f"{contexts.ENTITIES}\n id entity description\nE_1 P_marie_curie a chemist\nand physicist\n{contexts.REPORTS}\nCommunity: One\nContent:\n{'z' * 310}\nCommunity: Two\nnothing"
-    out = contexts.plain_sentences(text)
+    bare = f"{contexts.ENTITIES}\n nothing\nhere {contexts.REPORTS}"
+    out, *others = [r[0] for r in spark.createDataFrame([(x,) for x in (text, "plain  text", None, bare, contexts.REPORTS)], "t string").select(contexts.plain_sentences("t")).collect()]
     assert "marie curie: a chemist and physicist" in out and out.endswith("z" * 300 + "...")
-    assert contexts.plain_sentences("plain  text") == "plain  text"
+    assert others == ["plain  text", None, "nothing here", contexts.REPORTS]
+    two = f"x\n{contexts.ENTITIES}\nid entity description\nA_1 ada_lovelace wrote notes\n  B_2 X_the_engine was never built  \n{contexts.REPORTS}\nCommunity: One\nContent: head\nfirst line\n second line\n"
+    (said,) = spark.createDataFrame([(two,)], "t string").select(contexts.plain_sentences("t")).first()
+    assert said == "Relevant entities and services: lovelace: wrote notes. the engine: was never built\n\nContext summaries: first line second line"
 
 
 QUESTIONS = [("q1", "bridge", "?", "a", ["A", "B"]), ("q2", "bridge", "?", "long answer", ["A"]), ("q3", "comparison", "?", "c", ["C"]), ("q4", "bridge", "?", "d", [])]
