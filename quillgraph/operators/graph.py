@@ -62,7 +62,14 @@ def rewired(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return e.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), "n").filter("x != y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("n").alias("n"))
 
 
-def budget_prefix(rows: DataFrame, budget: int, order: list, tokens: str = "tokens", per: tuple[str, ...] = ()) -> DataFrame:
-    """Rows in order until the running sum of tokens first exceeds the budget."""
+def budget_prefix(rows: DataFrame, budget: int, order: list, tokens: str = "tokens", per: tuple[str, ...] = (), least: int = 0) -> DataFrame:
+    """Rows in order until the running sum of tokens first exceeds the budget.
+
+    least: the tokens that every row has at least. Where that is known, no more than budget / least rows of a group
+    can fit, so every input partition lets no more of its first ones pass, and the sum runs over few rows.
+    """
+    if least > 0:
+        first = Window.partitionBy(*per, "_part").orderBy(*order)
+        rows = rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= max(budget, 0) // least).drop("_part", "_at")
     w = Window.partitionBy(*per).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("running", F.sum(tokens).over(w)).filter(F.col("running") <= budget)

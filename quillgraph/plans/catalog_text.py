@@ -164,12 +164,19 @@ def local_context_rows(spark, sf_dir):
 
 
 def context_rows(spark, sf_dir, p: DataFrame) -> DataFrame:
-    pick = p.select(F.col("p_partkey").cast("long").alias("entity"), F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("o"))
+    """The ten relationships of the picked parts that occur most, and the ten text units that name the dearest parts.
+
+    A unit's rank is the place of its dearest part among all parts; only ten places are ever counted.
+    """
+    key = F.col("p_partkey").cast("long")
+    pick = p.select(key.alias("entity"), F.struct((-F.col("p_retailprice")).alias("price"), key.alias("part")).alias("o"))
     ends = G.co_occurrences(part_mentions(spark, sf_dir)).withColumn("entity", F.explode(F.array("a", "b")))
     links = ends.join(pick, "entity", "left_semi").select("a", "b", "n").distinct().orderBy(F.desc("n"), "a", "b").limit(10)
-    units = part_mentions(spark, sf_dir).distinct().join(pick, "entity").groupBy("chunk").agg(F.min("o").alias("rank")).orderBy("rank", "chunk").limit(10)
+    units = saved(part_mentions(spark, sf_dir).distinct().join(pick, "entity").groupBy("chunk").agg(F.min("o").alias("o")).orderBy("o", "chunk").limit(10))
+    before = pick.select(F.col("o").alias("other")).join(F.broadcast(units), F.col("other") <= F.col("o"))  # ten rows
+    ranked = before.groupBy("chunk").agg(F.count(F.lit(1)).alias("rank"))
     out = links.select(F.lit("relationship").alias("kind"), F.concat_ws("-", "a", "b").alias("id"), F.col("n").cast("long").alias("rank"))
-    return out.unionByName(units.select(F.lit("text_unit").alias("kind"), F.col("chunk").cast("string").alias("id"), F.col("rank").cast("long")))
+    return out.unionByName(ranked.select(F.lit("text_unit").alias("kind"), F.col("chunk").cast("string").alias("id"), F.col("rank").cast("long")))
 
 
 # ---- document features and sampling
