@@ -10,15 +10,21 @@ whose bound reaches the k-th score. The blocks lie in folders by a hash of the t
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.operators.storage import saved
 
-SEGMENT_BITS, BUCKETS, FIRST_SEGMENTS = 10, 64, 8
-SEGMENT = 1 << SEGMENT_BITS
+#: Documents of a segment, words that end one early, folders of terms, segments that a search scores first.
+SEGMENT, SEGMENT_WORDS, BUCKETS, FIRST_SEGMENTS = 1024, 2_000_000, 64, 8
+_WORDS = re.compile("[a-z]+")
 #: BM25's parameters, and what scores may differ by and still count as equal.
 K1, B, SLACK = 1.2, 0.75, 2e-6
 
@@ -37,11 +43,6 @@ class Head:
         return self.words / self.texts if self.texts else 0.0
 
 
-def words_of(text) -> Column:
-    """Lower-case words, cut at anything but letters a to z."""
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
-
-
 def _bucket(term) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
@@ -62,29 +63,61 @@ def opened(spark: SparkSession, path: str) -> Head:
     return Head(**spark.read.parquet(f"{path}/head").first().asDict())
 
 
+def _blocks(docs: DataFrame, generation: int) -> DataFrame:
+    """The blocks of documents (id, text): a segment is a run of neighbours in a task, so its blocks are made there."""
+    kind = dict(docs.dtypes)["id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def segment() -> pd.DataFrame:
+            by: dict[str, list] = {}
+            for key, counts, length in held:
+                for term, tf in counts.items():
+                    by.setdefault(term, []).append((key, tf, length))
+            rows = [(t, len(d), max(x[1] for x in d), min(x[2] for x in d), sum(x[1] for x in d), *(list(x) for x in zip(*d))) for t, d in by.items()]
+            out = pd.DataFrame(rows, columns=["term", "n", "most", "least", "words", "ids", "tfs", "lens"])
+            out.insert(1, "segment", (generation << 48) + (task << 24) + number)
+            return out
+
+        for pdf in batches:
+            for key, text in zip(pdf["id"].tolist(), pdf["text"]):
+                words = _WORDS.findall(text) if text else []
+                if words:
+                    held.append((key, Counter(words), len(words)))
+                    size += len(words)
+                if len(held) == SEGMENT or size > SEGMENT_WORDS:
+                    yield segment()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield segment()
+
+    lowered = docs.filter("text is not null").select("id", F.lower("text").alias("text"))
+    return lowered.mapInPandas(run, f"term string, segment long, n int, most int, least int, words long, ids array<{kind}>, tfs array<int>, lens array<int>")
+
+
 def _append(docs: DataFrame, path: str, head: Head) -> Head:
     """Documents (id, text) that the index doesn't hold, in segments of their own."""
-    spark = docs.sparkSession
-    # neighbours in a task are neighbours in a segment; the table fixes the numbers
-    place = F.shiftright(F.monotonically_increasing_id(), SEGMENT_BITS) + F.lit(head.generation << 44)
-    sized = saved(docs.select("id", words_of(F.col("text")).alias("w")).withColumn("segment", place))
-    n, texts, words = sized.agg(F.count(F.lit(1)), F.count("w"), F.coalesce(F.sum(F.size("w")), F.lit(0))).first()
-    counted = sized.select("id", "segment", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("segment", "term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("len").alias("len"))
-    # a group is at most one segment's documents
-    blocks = counted.groupBy("term", "segment").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("most"), F.min("len").alias("least"), F.sort_array(F.collect_list(F.struct("id", "tf", "len"))).alias("docs"))
+    spark, where = docs.sparkSession, f"{path}/blocks/generation={head.generation}"
+    n, texts = docs.agg(F.count(F.lit(1)), F.count("text")).first()
     # a bucket with a hot term may be several files; each is sorted by term
-    laid = blocks.withColumn("bucket", _bucket("term")).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "segment")
-    laid.write.mode("append").partitionBy("bucket").parquet(f"{path}/blocks")
-    sized.select("id").write.mode("append").parquet(f"{path}/ids")
-    new = Head(head.docs + n, head.texts + texts, head.words + words, head.generation + 1)
-    row = spark.createDataFrame([(new.docs, new.texts, new.words, new.generation)], "docs long, texts long, words long, generation int")
+    laid = _blocks(docs, head.generation).withColumn("bucket", _bucket("term")).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "segment")
+    laid.write.mode("overwrite").partitionBy("bucket").parquet(where)
+    docs.select("id").write.mode("overwrite").parquet(f"{path}/ids/generation={head.generation}")
+    new = spark.read.schema("words long").parquet(where).agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    now = Head(head.docs + n, head.texts + texts, head.words + new, head.generation + 1)
+    row = spark.createDataFrame([(now.docs, now.texts, now.words, now.generation)], "docs long, texts long, words long, generation int")
     row.coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
-    return new
+    return now
+
+
+def _ids(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/ids").select("id")
 
 
 def build(docs: DataFrame, path: str, id_col: str = "doc_id") -> Head:
-    """The index of docs (id_col, text) at `path`, whatever was there before. Null texts count as documents
-    without words. The head is written last: an index without is missing."""
+    """The index of docs (id_col, text) at `path`, whatever was there before. Words are lower-case and cut at anything
+    but letters a to z. Null texts count as documents without words. The head is written last: an index without is missing."""
     fs, where = _fs(docs.sparkSession, path)
     fs.delete(where, True)
     return _append(docs.select(F.col(id_col).alias("id"), "text"), path, Head(0, 0, 0, 0))
@@ -94,7 +127,7 @@ def added(docs: DataFrame, path: str, id_col: str = "doc_id") -> Head:
     """The index with documents whose ids it doesn't hold; nothing that is there is written again."""
     spark = docs.sparkSession
     head = opened(spark, path)
-    new = docs.select(F.col(id_col).alias("id"), "text").join(spark.read.parquet(f"{path}/ids"), "id", "left_anti")
+    new = docs.select(F.col(id_col).alias("id"), "text").join(_ids(spark, path), "id", "left_anti")
     return head if new.isEmpty() else _append(new, path, head)
 
 
@@ -116,15 +149,15 @@ def _idf(terms: list[str], df: dict[str, int], docs: int) -> Column:
 
 
 def _scores(blocks: DataFrame, idf: Column, mean: float) -> DataFrame:
-    each = blocks.select("term", F.explode("docs").alias("d"))
-    return each.select(F.col("d.id").alias("id"), _gain(F.col("d.tf"), F.col("d.len"), idf, mean).alias("g")).groupBy("id").agg(F.sum("g").alias("score"))
+    each = blocks.select("term", F.explode(F.arrays_zip("ids", "tfs", "lens")).alias("d"))
+    return each.select(F.col("d.ids").alias("id"), _gain(F.col("d.tfs"), F.col("d.lens"), idf, mean).alias("g")).groupBy("id").agg(F.sum("g").alias("score"))
 
 
 def scored(spark: SparkSession, path: str, terms: list[str], k: int) -> tuple[DataFrame, dict[str, int]]:
     """(id, score of the documents that may be among the k best, all of those that are), and how many blocks the
     terms have and how many of them were read."""
     head, terms = opened(spark, path), sorted(set(terms))
-    empty = spark.read.parquet(f"{path}/ids").select("id", F.lit(0.0).alias("score")).limit(0)
+    empty = _ids(spark, path).select("id", F.lit(0.0).alias("score")).limit(0)
     if not terms or not head.words:
         return empty, {"blocks": 0, "read": 0}
     blocks = postings(spark, path, terms)
@@ -166,6 +199,6 @@ def status(spark: SparkSession, path: str, docs: DataFrame, id_col: str = "doc_i
     """Why an index at `path` doesn't serve `docs`: missing, or documents it lacks or holds beyond them."""
     if not exists(spark, path):
         return ["missing"]
-    held, ids = spark.read.parquet(f"{path}/ids"), docs.select(F.col(id_col).alias("id"))
+    held, ids = _ids(spark, path), docs.select(F.col(id_col).alias("id"))
     lacks, beyond = ids.join(held, "id", "left_anti").count(), held.join(ids, "id", "left_anti").count()
     return [f"{n} documents {what}" for n, what in ((lacks, "lacking"), (beyond, "too many")) if n]

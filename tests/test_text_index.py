@@ -47,7 +47,7 @@ def _frame(spark, texts):
 @pytest.fixture(scope="module")
 def small_segments():
     patch = pytest.MonkeyPatch()
-    patch.setattr(TI, "SEGMENT_BITS", 4)
+    patch.setattr(TI, "SEGMENT", 16)
     patch.setattr(TI, "FIRST_SEGMENTS", 2)
     yield
     patch.undo()
@@ -86,7 +86,7 @@ def test_only_the_terms_buckets_are_opened(spark, path):
     with contextlib.redirect_stdout(out):
         TI.postings(spark, path, ["rare"]).select("segment", "n", "most", "least").explain("formatted")
     plan = out.getvalue()
-    assert "PartitionFilters: [isnotnull(bucket" in plan and re.search(r"PushedFilters: \[.*term.*rare", plan) and "docs" not in plan.split("ReadSchema")[1].splitlines()[0]
+    assert "PartitionFilters: [isnotnull(bucket" in plan and re.search(r"PushedFilters: \[.*term.*rare", plan) and "ids" not in plan.split("ReadSchema")[1].splitlines()[0]
 
 
 def test_documents_are_added_without_a_rebuild(spark, texts, small_segments):
