@@ -15,7 +15,7 @@ from quillgraph.operators import vector_index as VI
 from quillgraph.operators import vectors as V
 from quillgraph.operators.components import connected, triage
 from quillgraph.operators.editjoin import near_strings
-from quillgraph.operators.storage import table_path
+from quillgraph.operators.storage import saved, table_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -121,7 +121,7 @@ def components_from_pairs(spark, sf_dir):
     select component, size, round(m, 6) as mean_similarity, case when size > 5 then 'review' when m >= 0.95 then 'merge' when m >= 0.36 then 'verify' else 'ignore' end as decision from z join s using (component)"""
 )
 def cluster_triage(spark, sf_dir):
-    p = pairs(spark, sf_dir)
+    p = saved(pairs(spark, sf_dir))
     return triage(p, connected(p), verify=0.36).withColumn("mean_similarity", F.round("mean_similarity", 6))
 
 

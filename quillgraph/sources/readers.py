@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -154,44 +156,90 @@ def load_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _versions(spark: SparkSession, path: str):
-    """The file system of `path` and the numbers of the complete versions below it, ascending."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(where):
-        return fs, []
-    names = [s.getPath().getName() for s in fs.listStatus(where)]
-    numbers = sorted(int(n[2:]) for n in names if re.fullmatch(r"v=\d+", n))
-    return fs, [n for n in numbers if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/v={n}/_SUCCESS"))]
+# ---- state tables: folders of rows, and a log of numbered commits that each name one
 
 
-def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A keyed state table: its newest complete version; empty where nothing is stored yet."""
-    _, versions = _versions(spark, path)
-    return spark.read.schema(schema).parquet(f"{path}/v={versions[-1]}") if versions else spark.createDataFrame([], schema)
+def _fs(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _commits(spark: SparkSession, path: str) -> list[int]:
+    """The numbers in a state's log, ascending."""
+    fs, log = _fs(spark, f"{path}/log")
+    return sorted(int(n) for s in fs.listStatus(log) if (n := s.getPath().getName()).isdigit()) if fs.exists(log) else []
+
+
+def _named(spark: SparkSession, path: str, number: int) -> str:
+    """The folder that a commit names."""
+    fs, where = _fs(spark, f"{path}/log/{number:012d}")
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _put_if_absent(spark: SparkSession, path: str, number: int, text: str) -> bool:
+    """Commit `number` with its text, whole or not at all; False if that number is taken."""
+    fs, target = _fs(spark, f"{path}/log/{number:012d}")
+    _, draft = _fs(spark, f"{path}/drafts/{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(text.encode())
+    out.close()
+    fs.mkdirs(target.getParent())
+    if fs.getScheme() != "file":
+        return fs.rename(draft, target)  # a file is not renamed over another
+    try:  # on one machine a rename would replace the file; a link doesn't
+        os.link(draft.toUri().getPath(), target.toUri().getPath())
+    except FileExistsError:
+        return False
+    finally:
+        fs.delete(draft, False)
+    return True
+
+
+def read_state(spark: SparkSession, path: str, schema: str, version: int | None = None) -> DataFrame:
+    """A keyed state table as its newest commit, or the one numbered `version`, has it; empty where there is none.
+
+    What is read stays as it is while others write. The newest commit and the one before can be read.
+    """
+    commits = _commits(spark, path)
+    if not commits:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/{_named(spark, path, commits[-1] if version is None else version)}")
 
 
-def _next_version(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
-    """df as the newest version; the one before stays, in case a reader still has it, older ones go."""
-    fs, versions = _versions(spark, path)
-    number = versions[-1] + 1 if versions else 0
-    df.write.mode("overwrite").parquet(f"{path}/v={number}")
-    for old in versions[:-1]:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={old}"), True)
-    return spark.read.schema(df.schema).parquet(f"{path}/v={number}")
+def _changed(spark: SparkSession, path: str, schema: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The state after `change`, committed under the next number.
+
+    Rows are written first; whoever puts the next number into the log has the commit. Others find it taken, make
+    their change to the new state and try again, so no writer's change is lost. A crash leaves the state before.
+    """
+    while True:
+        commits = _commits(spark, path)
+        base = spark.read.schema(schema).parquet(f"{path}/{_named(spark, path, commits[-1])}") if commits else spark.createDataFrame([], schema)
+        df, name = change(base), f"rows-{uuid.uuid4().hex}"
+        df.write.parquet(f"{path}/{name}")
+        number = commits[-1] + 1 if commits else 0
+        if _put_if_absent(spark, path, number, name):
+            for old in commits[-2:-1]:  # the one before the last; the last may still be read
+                fs, where = _fs(spark, f"{path}/{_named(spark, path, old)}")
+                fs.delete(where, True)
+            return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        fs, where = _fs(spark, f"{path}/{name}")
+        fs.delete(where, True)
 
 
 def write_state(spark: SparkSession, path: str, new: DataFrame, key: str, order: str) -> DataFrame:
-    """Upsert by key into a new version; until that is complete, readers and a crash find the old one."""
+    """Upsert by key; until the commit is there, readers and a crash find the state before."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in new.schema.fields)
-    return _next_version(spark, path, upserted(read_state(spark, path, schema), new, key, order))
+    return _changed(spark, path, schema, lambda base: upserted(base, new, key, order))
 
 
 def delete_state(spark: SparkSession, path: str, schema: str, key: str | None = None, values: list | None = None) -> DataFrame:
     """The state without the rows of some keys, or without any."""
-    now = read_state(spark, path, schema)
-    return _next_version(spark, path, now.filter(~F.col(key).isin(values)) if key and values else now.limit(0))
+    return _changed(spark, path, schema, lambda base: base.filter(~F.col(key).isin(values)) if key and values else base.limit(0))
 
 
 # ---- the vector store: a table of texts with metadata and vectors
