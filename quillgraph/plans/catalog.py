@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators import graph as G
+from quillgraph.operators import layout as L
 from quillgraph.operators import paths as P
 from quillgraph.operators import vector_index as VI
 from quillgraph.operators import vectors as V
@@ -515,6 +516,42 @@ def entity_reports(spark, sf_dir):
     return g.join(hits, "community").orderBy(F.desc("matches"), F.desc("rank"), "community").limit(10)
 
 
+# ---- a laid-out graph and a stream
+
+
+def laid_out_parts(spark, sf_dir) -> dict[str, DataFrame]:
+    """Parts as entities that orders mention, laid out once for the queries that follow."""
+    root, name = table_path(spark), "parts"
+    m = saved(part_mentions(spark, sf_dir).distinct())
+    L.laid_out(m, G.co_occurrences(m), root, name)
+    return L.attached(spark, root, name)
+
+
+@query(f"with {_CO}, {_BOTH}, {_SEED} select b as node, count(*) as n from bo where a in (from s) and b not in (from s) group by 1 order by 2 desc, 1 limit 10")
+def laid_out_neighbours(spark, sf_dir):
+    return L.outside(laid_out_parts(spark, sf_dir), seeds(spark, sf_dir), 10)
+
+
+@query(f"with {_CO} select a, b, n from co")
+def laid_out_cooccurrence(spark, sf_dir):
+    return L.together(laid_out_parts(spark, sf_dir)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with d as (select distinct l_orderkey as o, l_partkey as p from lineitem)
+    select cast(o as varchar) as id, count(*) as needed from d left join part on p = p_partkey and p_size <= 40 group by o having count(*) = count(p_partkey)""")
+def answerable_stream(spark, sf_dir):
+    """Orders need their parts as questions need titles; parts of up to size 40 are there. Both come as streams."""
+    from quillgraph.streaming import answers
+
+    where = table_path(spark)
+    needs = part_mentions(spark, sf_dir).groupBy(F.col("chunk").cast("string").alias("id")).agg(F.collect_set(F.col("entity").cast("string")).alias("supporting"))
+    needs.write.parquet(f"{where}/questions")
+    t(spark, sf_dir, "part").filter("p_size <= 40").select(F.col("p_partkey").cast("string").alias("title")).write.parquet(f"{where}/titles")
+    stream = lambda name, schema: spark.readStream.schema(schema).parquet(f"{where}/{name}")
+    answers.follow(spark, stream("questions", "id string, supporting array<string>"), stream("titles", "title string"), where).awaitTermination()
+    return answers.answerable(spark, where)
+
+
 # ---- profiles
 
 
