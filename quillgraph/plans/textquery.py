@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.jsonrepair import balanced
+from quillgraph.functions.tables import registered
 from quillgraph.plans.retrieve import retriever
 
 #: Misspelt keywords and what they should be. Fixed values.
@@ -167,6 +168,7 @@ def drafted(question: str) -> str:
 @retriever("text2query")
 def text2query(graph, question, settings, generate: Callable[[str], str] = drafted, most: int = 3):
     spark = graph["chunks"].sparkSession
+    registered(spark)
     for name, df in graph.items():
         df.createOrReplaceTempView(name)
     text, verdict, attempts = refine(spark, generate(question), most)
@@ -201,6 +203,7 @@ def agent(graph, question, settings, generate: Callable[[str], str] | None = Non
 def tools(graph: dict[str, DataFrame]) -> dict[str, Callable[[str], str]]:
     """What an agent framework may call: the schema and a read-only query, both text to text."""
     spark = next(iter(graph.values())).sparkSession
+    registered(spark)
     for name, df in graph.items():
         df.createOrReplaceTempView(name)
 

@@ -40,6 +40,12 @@ def test_retrievers_answer(built):
         retrieve.ask("nothing", built, "?")
 
 
+def test_laid_out_graph_answers_alike(built, tmp_path):
+    ready = build.preloaded(built, str(tmp_path / "layout"), "engine")
+    question = "What did Marie Curie do in Paris?"
+    assert retrieve.ask("hybrid", ready, question)["retrieval_details"] == retrieve.ask("hybrid", built, question)["retrieval_details"]
+
+
 def test_action_graph():
     g = drift.ActionGraph()
     g.add(drift.Action("a", 0, "x", 50, True))
