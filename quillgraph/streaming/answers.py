@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 DEAL = 16
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keyed state needs this provider. A query has a store for each operator and partition: files of theirs aren't
+#: allocated ahead of what they hold.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 class Waiting(StatefulProcessor):
@@ -61,15 +65,17 @@ def follow(spark: SparkSession, questions: DataFrame, titles: DataFrame, target:
     """Start the stream of newly answerable questions into `target`/answerable and drain what there is.
 
     State and progress are below `target`/_answers: started again, it goes on where it ended and gives none twice.
-    Keyed state needs the RocksDB provider, which is set while the query starts.
+    `STATE` is set while the query starts.
     """
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         writer = newly_answerable(questions, titles).writeStream.format("parquet").option("path", f"{target}/answerable")
         return writer.option("checkpointLocation", f"{target}/_answers").outputMode("append").trigger(availableNow=True).start()
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def ingested_titles(spark: SparkSession, target: str, title: Column | None = None, files_per_batch: int = 1000) -> DataFrame:
