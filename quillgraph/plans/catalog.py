@@ -212,8 +212,10 @@ def cooccurrence_list(spark, sf_dir):
 
 @query("select l_partkey as entity, arg_min(l_shipdate, (l_orderkey, l_linenumber)) as first_seen, arg_min(l_returnflag, (l_orderkey, l_linenumber)) filter (l_returnflag <> 'N') as flag from lineitem group by 1")
 def upsert_first_writer(spark, sf_dir):
-    rows = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_shipdate").alias("first_seen"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"), "l_orderkey", "l_linenumber")
-    return G.first_written(rows, "entity", F.struct("l_orderkey", "l_linenumber"), "first_seen", "flag")
+    # lines with the same numbers were written in the order in which they stand in the table
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    rows = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_shipdate").alias("first_seen"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"), "l_orderkey", "l_linenumber", *place)
+    return G.first_written(rows, "entity", F.struct("l_orderkey", "l_linenumber", "file", "place"), "first_seen", "flag")
 
 
 @query(

@@ -75,3 +75,14 @@ def test_answers_read_whole_texts(spark, sf_dir):
     assert any(len(x) > 200 for x, _ in pairs.values())
     assert {(c, n): x for c, n, x in rows(spark, sf_dir, "normalise_answer")} == {k: " ".join(words(x)) for k, (x, _) in pairs.items()}
     assert rows(spark, sf_dir, "exact_match") == [(len(pairs), sum(words(x) == words(y) for x, y in pairs.values()))]
+
+
+def test_first_of_equal_writers_is_the_first_line(spark, tmp_path):
+    import duckdb
+
+    lines = [(k % 7, 5, 1, f"2020-01-{k % 28 + 1:02d}", "NRA"[k % 3]) for k in range(60)]
+    df = spark.createDataFrame(lines, "l_partkey long, l_orderkey long, l_linenumber int, l_shipdate string, l_returnflag string")
+    df.coalesce(1).toPandas().to_parquet(tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    assert sorted(rows(spark, str(tmp_path), "upsert_first_writer")) == sorted(con.sql(catalog.ORACLE_SQL["upsert_first_writer"]).fetchall())
