@@ -6,9 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def co_mentions(mentions: DataFrame) -> DataFrame:
-    """(chunk, a, b) for two entities a < b of one chunk, each entity counted once per chunk."""
-    m = mentions.select("chunk", "entity").distinct()
+#: Mentions that one task of a join with themselves holds: their pairs are a few times as many.
+MENTIONS = 1 << 17
+
+
+def co_mentions(mentions: DataFrame, size: int = MENTIONS) -> DataFrame:
+    """(chunk, a, b) for two entities a < b of one chunk, each entity counted once per chunk.
+
+    Chunks are dealt over as many tasks as there are `size` mentions, as a task's pairs, and what is grouped from
+    them, take far more memory than its mentions, by whose bytes Spark would put tasks together.
+    """
+    m = mentions.select("chunk", "entity")
+    m = m.repartition(max(1, -(-m.count() // size)), "chunk").distinct()
     return m.alias("x").join(m.alias("y"), (F.col("x.chunk") == F.col("y.chunk")) & (F.col("x.entity") < F.col("y.entity"))).select("x.chunk", F.col("x.entity").alias("a"), F.col("y.entity").alias("b"))
 
 
@@ -21,7 +30,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    return both_ways(edges).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    return edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def first_written(rows: DataFrame, key: str, order: Column, *values: str) -> DataFrame:

@@ -124,3 +124,13 @@ def test_splitter(spark):
     d = spark.createDataFrame([(1, text), (2, None), (3, "  ")], "doc_id long, text string")
     rows = chunks(d, size=100, overlap=20).collect()
     assert {r.doc_id for r in rows} == {"1"} and [r["index"] for r in rows] == list(range(len(rows)))
+
+
+def test_mentions_are_dealt_over_tasks_by_their_number(spark):
+    m = spark.range(4000).select((F.col("id") % 1000).alias("chunk"), F.floor(F.col("id") / 7).alias("entity"))
+    pairs = G.co_mentions(m, size=100)
+    held = pairs.groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) > 20 and max(r["count"] for r in held) < 4 * 6 * 100
+    plain = m.withColumnRenamed("entity", "x").join(m, "chunk").filter("x < entity").count()
+    assert sum(r["count"] for r in held) == plain
+    assert {(r.a, r.b): r.n for r in G.co_occurrences(m).collect()} == {(r.a, r.b): r.n for r in pairs.groupBy("a", "b").agg(F.count("a").alias("n")).collect()}
