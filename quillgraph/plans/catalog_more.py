@@ -149,9 +149,9 @@ def legacy_label(text: Column) -> Column:
     """A label of letters, digits and underscores that begins with a letter, each run of letters capitalised."""
     clean = F.regexp_replace(F.translate(text, " -", "__"), "[^a-zA-Z0-9_]", "")
     clean = F.when(clean.rlike("^[^a-zA-Z]"), F.concat(F.lit("Entity_"), clean)).otherwise(clean)
-    chars = F.split(clean, "")
-    after_letter = lambda i: F.coalesce(F.get(chars, i - 1).rlike("[a-zA-Z]"), F.lit(False))
-    return F.array_join(F.transform(chars, lambda c, i: F.when(after_letter(i), F.lower(c)).otherwise(F.upper(c))), "")
+    # runs of letters stand as words of their own while they are capitalised
+    words = F.initcap(F.regexp_replace(clean, "([0-9_]+)", " $1 "))
+    return F.translate(words, " ", "")
 
 
 @query(

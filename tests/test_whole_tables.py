@@ -86,3 +86,13 @@ def test_first_of_equal_writers_is_the_first_line(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
     assert sorted(rows(spark, str(tmp_path), "upsert_first_writer")) == sorted(con.sql(catalog.ORACLE_SQL["upsert_first_writer"]).fetchall())
+
+
+def test_legacy_labels_go_over_whole_strings(spark):
+    from quillgraph.plans.catalog_more import legacy_label
+
+    texts = ["small PLATED copper-7z Brand#12", "9th a_b", "", "x1Yz__Q-q", "é9é", None]
+    found = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", legacy_label(F.col("x")).alias("label"))
+    assert [r.label for r in found.orderBy("i").collect()] == ["Small_Plated_Copper_7Z_Brand12", "Entity_9Th_A_B", "", "X1Yz__Q_Q", "Entity_9", None]
+    # no expression for each character
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
