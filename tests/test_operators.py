@@ -1,9 +1,12 @@
 """Operators on micro-graphs and hand-made tables."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import graph as G
 from quillgraph.operators import modularity as M
+from quillgraph.operators import vectors as V
 from quillgraph.operators.budget import budget_fold, running_sums
 from quillgraph.operators.chunking import chunks, split_sections, split_text
 from quillgraph.operators.components import connected, triage
@@ -134,3 +137,15 @@ def test_mentions_are_dealt_over_tasks_by_their_number(spark):
     plain = m.withColumnRenamed("entity", "x").join(m, "chunk").filter("x < entity").count()
     assert sum(r["count"] for r in held) == plain
     assert {(r.a, r.b): r.n for r in G.co_occurrences(m).collect()} == {(r.a, r.b): r.n for r in pairs.groupBy("a", "b").agg(F.count("a").alias("n")).collect()}
+
+
+def test_blocks_grow_where_cells_leave_nothing_out(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(f) for f in v]) for i, v in enumerate(rng.normal(size=(3000, 16)))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(V, "CELL_ROWS", 20)
+        m.setattr(V, "LEAST_ROWS", 20)
+        met, _, _ = V._blocks(vectors, 0.2, "vec_id", None)
+        # with 150 cells rows would visit 75 of them, and be sent to more blocks
+        assert met.count() < 2 * V.BLOCKS * 3000
