@@ -9,7 +9,7 @@ from quillgraph.operators import modularity as M
 from quillgraph.operators import vectors as V
 from quillgraph.operators.budget import budget_fold, running_sums
 from quillgraph.operators.chunking import chunks, split_sections, split_text
-from quillgraph.operators.components import connected, triage
+from quillgraph.operators.components import connected, stars, triage
 from quillgraph.operators.vectors import nearest_graph, similar_pairs
 
 TRIANGLES = [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6)]
@@ -139,6 +139,12 @@ def test_mentions_are_dealt_over_tasks_by_their_number(spark):
     assert {(r.a, r.b): r.n for r in G.co_occurrences(m).collect()} == {(r.a, r.b): r.n for r in pairs.groupBy("a", "b").agg(F.count("a").alias("n")).collect()}
 
 
+def test_pairs_of_a_task_leave_few_stars(spark):
+    pairs = spark.range(0, 200_000, 1, 4).select((F.col("id") % 97 + 1000).alias("u"), (F.col("id") * 7 % 89).alias("v"))
+    assert stars(pairs).count() < 4 * (97 + 89)
+    assert {r.component for r in connected(pairs, "u", "v").collect()} == {0}
+
+
 def test_blocks_grow_where_cells_leave_nothing_out(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(f) for f in v]) for i, v in enumerate(rng.normal(size=(3000, 16)))]
