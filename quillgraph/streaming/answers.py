@@ -1,81 +1,64 @@
-"""Answerability that follows ingestion: questions wait in keyed state for the titles that they still lack.
+"""Answerability that follows ingestion: questions wait, as stored needs, for the titles that they still lack.
 
-Needs and titles meet in a stream-stream join, in the JVM; what a question has found is the state of that question
-alone. A title that a third of all questions need is dealt over `DEAL` parts of them, as titles are few and short.
+A batch appends its needs and its new titles, as its own partitions, and looks at those questions alone that it
+touches: the ones it brings, and the ones that need a title it brings. All of that is joins and sums of Spark's own,
+so a question costs a few rows, not a call of its own. A batch that runs again overwrites what it wrote.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
-
-DEAL = 16
-#: Keyed state needs this provider. A query has a store for each operator and partition: files of theirs aren't
-#: allocated ahead of what they hold.
-STATE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-}
-
-
-class Waiting(StatefulProcessor):
-    """One question: the titles it needs and those found of them. It comes out once, when it lacks none."""
-
-    def init(self, handle):
-        self._question = handle.getValueState("question", "needed array<string>, found array<string>, given boolean")
-
-    def handleInputRows(self, key, rows, timerValues):
-        old = self._question.get() if self._question.exists() else None
-        given = bool(old and old[2])
-        needed, found = (set(old[0]), set(old[1])) if old else (set(), set())
-        for pdf in rows:
-            for titles, title in zip(pdf["needed"], pdf["title"]):
-                needed |= set() if titles is None else set(titles)
-                found |= set() if title is None else {title}
-        if given:
-            return
-        ready = bool(needed) and needed <= found
-        self._question.update(([], [], True) if ready else (sorted(needed), sorted(found), False))
-        if ready:
-            yield pd.DataFrame({"id": [key[0]], "needed": [len(needed)]})
-
-    def close(self):
-        pass
-
-
-def newly_answerable(questions: DataFrame, titles: DataFrame) -> DataFrame:
-    """id, needed of every question of one stream (id, supporting) once all its titles came in the other (title).
-
-    Either side may come first. Questions without titles never come out, null titles don't count, titles and
-    questions may be repeated; a question that is repeated with other titles before it came out needs all of them.
-    """
+from pyspark.sql.streaming import StreamingQuery
+
+#: Needs that one task puts together by question.
+ROWS = 1 << 20
+NEEDS, TITLES, ANSWERABLE = "id string, title string", "title string", "id string, needed long"
+
+
+def _events(questions: DataFrame, titles: DataFrame) -> DataFrame:
+    """id, needed, title: both streams as one; questions have no title, titles no id."""
     wanted = F.array_distinct(F.array_compact(F.coalesce("supporting", F.array().cast("array<string>"))))
     asked = questions.select(F.col("id").cast("string").alias("id"), wanted.alias("needed")).filter("id is not null and size(needed) > 0")
-    needs = asked.select("id", F.explode("needed").alias("title"), F.pmod(F.xxhash64("id"), F.lit(DEAL)).alias("part"))
-    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEAL - 1).cast("long")))
-    known = titles.select(F.col("title").alias("known")).filter("known is not null").dropDuplicates(["known"]).select("known", parts.alias("known_part"))
-    hits = needs.join(known, (F.col("title") == F.col("known")) & (F.col("part") == F.col("known_part"))).select("id", "title")
-    events = asked.select("id", "needed", F.lit(None).cast("string").alias("title")).unionByName(hits.select("id", F.lit(None).cast("array<string>").alias("needed"), "title"))
-    return events.groupBy("id").transformWithStateInPandas(Waiting(), outputStructType="id string, needed long", outputMode="append", timeMode="none")
+    known = titles.select(F.lit(None).cast("string").alias("id"), F.lit(None).cast("array<string>").alias("needed"), F.col("title").cast("string").alias("title"))
+    return asked.select("id", "needed", F.lit(None).cast("string").alias("title")).unionByName(known.filter("title is not null"))
+
+
+def answer_batch(spark: SparkSession, events: DataFrame, number: int, target: str) -> None:
+    """What a batch of `_events` makes answerable, as the batch's own partition of `target`/answerable.
+
+    Questions that came out before batch `number` count no more, whatever is asked of them later.
+    """
+    state = f"{target}/_state"
+    events.filter("id is not null").select("id", F.explode("needed").alias("title")).write.mode("overwrite").parquet(f"{state}/needs/batch={number}")
+    events.filter("title is not null").select("title").write.mode("overwrite").parquet(f"{state}/titles/batch={number}")
+    stored = lambda path, schema: spark.read.schema(f"{schema}, batch long").parquet(path)
+    needs, titles = stored(f"{state}/needs", NEEDS).filter(F.col("batch") <= number), stored(f"{state}/titles", TITLES).filter(F.col("batch") <= number)
+    if number:
+        touched = needs.join(titles.filter(F.col("batch") == number).select("title"), "title", "left_semi").select("id")
+        touched = touched.unionByName(needs.filter(F.col("batch") == number).select("id")).distinct()
+        given = stored(f"{target}/answerable", ANSWERABLE).filter(F.col("batch") < number)
+        needs = needs.join(touched.join(given, "id", "left_anti"), "id", "left_semi")
+    known = titles.select("title").distinct().withColumn("known", F.lit(1))
+    # a title that very many questions need is one key of this join; Spark splits its rows
+    met = needs.join(known, "title", "left").select("id", "title", "known")
+    # by rows, as Spark's own number of tasks doesn't grow with them
+    met = met.repartition(max(1, -(-needs.count() // ROWS)), "id").distinct()
+    ready = met.groupBy("id").agg(F.count(F.lit(1)).alias("needed"), F.count("known").alias("found")).filter("needed = found")
+    ready.select("id", "needed").write.mode("overwrite").parquet(f"{target}/answerable/batch={number}")
 
 
 def follow(spark: SparkSession, questions: DataFrame, titles: DataFrame, target: str) -> StreamingQuery:
     """Start the stream of newly answerable questions into `target`/answerable and drain what there is.
 
-    State and progress are below `target`/_answers: started again, it goes on where it ended and gives none twice.
-    `STATE` is set while the query starts.
+    questions (id, supporting) and titles (title) are streams; either may come first. A question comes out once, when
+    all its titles came. Questions without titles never come out, null titles don't count, titles and questions may
+    be repeated; a question that is repeated with other titles before it came out needs all of them. State is below
+    `target`/_state and progress below `target`/_answers: started again, it goes on where it ended.
     """
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
-        spark.conf.set(k, v)
-    try:
-        writer = newly_answerable(questions, titles).writeStream.format("parquet").option("path", f"{target}/answerable")
-        return writer.option("checkpointLocation", f"{target}/_answers").outputMode("append").trigger(availableNow=True).start()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    spark.createDataFrame([], ANSWERABLE).write.mode("ignore").parquet(f"{target}/answerable/batch=-1")
+    writer = _events(questions, titles).writeStream.foreachBatch(lambda batch, number: answer_batch(spark, batch, number, target))
+    return writer.option("checkpointLocation", f"{target}/_answers").trigger(availableNow=True).start()
 
 
 def ingested_titles(spark: SparkSession, target: str, title: Column | None = None, files_per_batch: int = 1000) -> DataFrame:
@@ -89,4 +72,4 @@ def ingested_titles(spark: SparkSession, target: str, title: Column | None = Non
 
 def answerable(spark: SparkSession, target: str) -> DataFrame:
     """id, needed of the questions that came out so far."""
-    return spark.read.schema("id string, needed long").parquet(f"{target}/answerable")
+    return spark.read.schema(ANSWERABLE).parquet(f"{target}/answerable").select("id", "needed")

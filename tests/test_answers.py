@@ -46,3 +46,22 @@ def test_a_title_that_all_questions_need(spark, tmp_path):
     titles = spark.readStream.schema("title string").parquet(known)
     answers.follow(spark, spark.readStream.schema(SCHEMA).parquet(asked), titles, out).awaitTermination()
     assert {int(r.id) for r in answers.answerable(spark, out).collect()} == {i for i in range(500) if i % 50 % 2 == 0}
+
+
+def test_a_question_costs_no_call_of_its_own(spark, tmp_path):
+    asked, known, out = (str(tmp_path / n) for n in ("q", "t", "o"))
+    _put(spark, [("q1", ["a"]), ("q2", ["b"])], SCHEMA, asked)
+    _put(spark, [("a",)], "title string", known)
+    query = answers.follow(spark, spark.readStream.schema(SCHEMA).parquet(asked), spark.readStream.schema("title string").parquet(known), out)
+    query.awaitTermination()
+    assert "Python" not in query._jsq.explainInternal(True) and not query.lastProgress.stateOperators
+
+
+def test_a_batch_that_runs_again_gives_the_same(spark, tmp_path):
+    out, schema = str(tmp_path / "o"), "id string, needed array<string>, title string"
+    batches = [[("q1", ["a", "b"], None), ("q2", ["b", "c"], None), (None, None, "a")], [(None, None, "b"), ("q1", ["b"], None)], [(None, None, "c"), ("q1", ["z"], None), ("q2", ["a"], None)]]
+    spark.createDataFrame([], answers.ANSWERABLE).write.parquet(f"{out}/answerable/batch=-1")
+    for number, rows in enumerate(batches):
+        for _ in range(2):
+            answers.answer_batch(spark, spark.createDataFrame(rows, schema), number, out)
+    assert sorted(map(tuple, answers.answerable(spark, out).collect())) == [("q1", 2), ("q2", 3)]
