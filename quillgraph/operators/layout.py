@@ -18,6 +18,8 @@ from quillgraph.operators.storage import saved
 
 #: Rows that one bucket, and one part of a hot node, should hold.
 ROWS = 1 << 20
+#: Mentions that one bucket of chunks should hold: they meet themselves there, and their pairs take far more memory.
+MEETING = 1 << 17
 #: What rows are bucketed and sorted by.
 KEYS = {"mentions_by_chunk": ["chunk"], "mentions_by_entity": ["node", "part"], "edges_by_node": ["node", "part"], "nodes": ["node"]}
 
@@ -45,8 +47,9 @@ def laid_out(mentions: DataFrame, edges: DataFrame, root: str, name: str, size:
     """
     spark = mentions.sparkSession
     m = saved(mentions.select("chunk", F.col("entity").alias("node")).dropna().distinct())
-    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "n")
-    e = saved(ends.unionByName(ends.select(F.col("other").alias("node"), F.col("node").alias("other"), "n")).dropna(subset=["node", "other"]))
+    # from one pass over the edges
+    way = lambda x, y: F.struct(F.col(x).alias("node"), F.col(y).alias("other"), "n")
+    e = saved(edges.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e")).select("e.*").dropna(subset=["node", "other"]))
     nodes = saved(_counted(m, "mention_parts", size).join(_counted(e, "edge_parts", size), "node", "full").na.fill(0))
     tables = {
         "mentions_by_chunk": m.withColumnRenamed("node", "entity"),
@@ -57,7 +60,7 @@ def laid_out(mentions: DataFrame, edges: DataFrame, root: str, name: str, size:
     known = []
     for table, df in tables.items():
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        known.append({"table": table, "columns": columns, "buckets": _buckets(df.count(), size)})
+        known.append({"table": table, "columns": columns, "buckets": _buckets(df.count(), min(size, MEETING) if table == "mentions_by_chunk" else size)})
     for k in known:
         _wiped(spark, f"{root}/{k['table']}")
     spark.createDataFrame([(json.dumps(known),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/layout")

@@ -79,3 +79,12 @@ def test_another_session_and_odd_input(spark, layout, tmp_path):
     L.laid_out(none, G.co_occurrences(none), str(tmp_path / "none"), "hollow")
     empty = L.attached(spark, str(tmp_path / "none"), "hollow")
     assert L.neighbours(empty, spark.createDataFrame([(1,)], "entity long")).count() == 0 and L.together(empty).count() == 0
+
+
+def test_chunks_meet_in_small_buckets(spark, plain, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "MEETING", 40)
+    L.laid_out(*plain, str(tmp_path), "meeting")
+    tables = L.attached(spark, str(tmp_path), "meeting")
+    buckets = {n: int(spark.sql(f"describe extended meeting_{n}").filter("col_name = 'Num Buckets'").first()["data_type"]) for n in tables}
+    assert buckets["mentions_by_chunk"] * 40 >= tables["mentions_by_chunk"].count() > 8 * 40 and buckets["edges_by_node"] == 8
+    assert sorted(map(tuple, L.together(tables).collect())) == sorted(map(tuple, G.co_mentions(plain[0]).collect()))
