@@ -395,8 +395,7 @@ def ancestor_closure(spark, sf_dir):
 
 def ancestors(links: DataFrame, most: int | None = None) -> DataFrame:
     """node, ancestor, hops: every node of the links (child, parent) with itself and all above it."""
-    nodes = links.select(F.col("child").alias("node")).union(links.select("parent"))
-    return P.closure(links.select(F.col("child").alias("a"), F.col("parent").alias("b")), nodes, most).select(F.col("start").alias("node"), F.col("node").alias("ancestor"), "hops")
+    return P.closures(links.select(F.col("child").alias("a"), F.col("parent").alias("b")), most).select(F.col("start").alias("node"), F.col("node").alias("ancestor"), "hops")
 
 
 def lineage(spark, sf_dir) -> DataFrame:

@@ -51,6 +51,41 @@ def test_a_chain_of_fifty_levels(spark):
     assert P.shortest(_frame(spark, chain), 5, 2) == [] and P.shortest(_frame(spark, chain), 4, 4) == [4]
 
 
+@pytest.mark.parametrize("most, size", [(None, P.SET_NODES), (2, P.SET_NODES), (0, P.SET_NODES), (None, 12)])
+def test_closures_of_every_node(spark, most, size):
+    rng = random.Random(5)
+    down = [(i, rng.randrange(i)) for i in range(1, 60) for _ in range(rng.randrange(3))]
+    edges = [*down, *down[:3], (7, 7), (61, 61), (70, 71), (71, 72), (72, 70), (73, 70), (71, 5)]  # a cycle, what leads to it, loops
+    got = P.closures(_frame(spark, [*edges, (None, 80), (81, None)]), most, size).collect()
+    ends = {n for edge in edges for n in edge} | {80, 81}
+    want = {(s, n, h) for s in ends for n, h in _hops(edges, s).items() if most is None or h <= most}
+    assert {(r.start, r.node, r.hops) for r in got} == want and len(got) == len(want)
+
+
+def test_closures_without_edges_and_of_cycles_alone(spark):
+    assert P.closures(_frame(spark, [(None, None)])).collect() == []
+    got = P.closures(spark.createDataFrame([("x", "y"), ("y", "x")], "a string, b string")).collect()
+    assert sorted(map(tuple, got)) == [("x", "x", 0), ("x", "y", 1), ("y", "x", 1), ("y", "y", 0)]
+
+
+def _shuffled(spark):
+    """Bytes that this application has shuffled."""
+    jvm = spark._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_ancestors_are_shuffled_once_for_each_edge(spark):
+    from quillgraph.plans.catalog import ancestors
+
+    links = spark.range(2, 4000).selectExpr("id as child", "explode(array(id div 2, id div 3)) as parent").filter("parent >= 1").distinct()
+    began = _shuffled(spark)
+    pairs = ancestors(links).count()
+    assert pairs == sum(len({n // (2**i * 3**j) for i in range(12) for j in range(8)} - {0}) for n in range(1, 4000))
+    assert (_shuffled(spark) - began) / pairs < 9  # 12 with all pairs in every round
+
+
 def _trails(edges, start, least, most, directed):
     steps = collections.defaultdict(set)
     for a, b in edges:
