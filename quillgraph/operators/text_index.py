@@ -11,11 +11,13 @@ whose bound reaches the k-th score. The blocks lie in folders by a hash of the t
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,37 +65,52 @@ def opened(spark: SparkSession, path: str) -> Head:
     return Head(**spark.read.parquet(f"{path}/head").first().asDict())
 
 
+def _segments(batches: Iterator[pa.RecordBatch], first: int, docs: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of documents (id, text), segment by segment: of `docs` documents, or fewer once they have over `most` words.
+
+    A posting is three numbers in arrays: as Python's objects they would take some hundred bytes.
+    """
+
+    def segment() -> pa.RecordBatch:
+        term, order = np.frombuffer(of, "i4"), np.argsort(np.frombuffer(of, "i4"), kind="stable")
+        n = np.bincount(term, minlength=len(terms))
+        ends = np.concatenate([[0], np.cumsum(n)])
+        doc, tf = np.frombuffer(at, "i4")[order], np.frombuffer(tfs, "i4")[order]
+        length, begin = np.frombuffer(lens, "i4")[doc], ends[:-1]
+        lists = lambda values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        each = {
+            "term": pa.array(list(terms), pa.string()), "segment": np.full(len(n), first + number), "n": n.astype("i4"), "most": np.maximum.reduceat(tf, begin), "least": np.minimum.reduceat(length, begin),
+            "words": np.add.reduceat(tf.astype("i8"), begin), "ids": lists(pa.array(ids, kind).take(pa.array(doc))), "tfs": lists(pa.array(tf)), "lens": lists(pa.array(length)),
+        }
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in each.values()], names=list(each))
+
+    number, size, kind = 0, 0, None
+    terms, ids, lens, of, at, tfs = {}, [], array("i"), array("i"), array("i"), array("i")
+    for few in (b.slice(s, 64) for b in batches for s in range(0, b.num_rows, 64)):
+        kind = few.column("id").type
+        for key, text in zip(few.column("id").to_pylist(), few.column("text").to_pylist()):
+            counts = Counter(m.group() for m in _WORDS.finditer(text or ""))
+            if counts:
+                of.extend(terms.setdefault(t, len(terms)) for t in counts)
+                at.extend([len(ids)] * len(counts))
+                tfs.extend(counts.values())
+                ids.append(key)
+                lens.append(counts.total())
+                size += lens[-1]
+            if len(ids) == docs or size > most:
+                yield segment()
+                number, size = number + 1, 0
+                terms, ids, lens, of, at, tfs = {}, [], array("i"), array("i"), array("i"), array("i")
+    if ids:
+        yield segment()
+
+
 def _blocks(docs: DataFrame, generation: int) -> DataFrame:
     """The blocks of documents (id, text): a segment is a run of neighbours in a task, so its blocks are made there."""
-    kind = dict(docs.dtypes)["id"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def segment() -> pd.DataFrame:
-            by: dict[str, list] = {}
-            for key, counts, length in held:
-                for term, tf in counts.items():
-                    by.setdefault(term, []).append((key, tf, length))
-            rows = [(t, len(d), max(x[1] for x in d), min(x[2] for x in d), sum(x[1] for x in d), *(list(x) for x in zip(*d))) for t, d in by.items()]
-            out = pd.DataFrame(rows, columns=["term", "n", "most", "least", "words", "ids", "tfs", "lens"])
-            out.insert(1, "segment", (generation << 48) + (task << 24) + number)
-            return out
-
-        for pdf in batches:
-            for key, text in zip(pdf["id"].tolist(), pdf["text"]):
-                words = _WORDS.findall(text) if text else []
-                if words:
-                    held.append((key, Counter(words), len(words)))
-                    size += len(words)
-                if len(held) == SEGMENT or size > SEGMENT_WORDS:
-                    yield segment()
-                    number, held, size = number + 1, [], 0
-        if held:
-            yield segment()
-
+    kind, bounds = dict(docs.dtypes)["id"], (SEGMENT, SEGMENT_WORDS)
+    run = lambda batches: _segments(batches, (generation << 48) + (TaskContext.get().partitionId() << 24), *bounds)
     lowered = docs.filter("text is not null").select("id", F.lower("text").alias("text"))
-    return lowered.mapInPandas(run, f"term string, segment long, n int, most int, least int, words long, ids array<{kind}>, tfs array<int>, lens array<int>")
+    return lowered.mapInArrow(run, f"term string, segment long, n int, most int, least int, words long, ids array<{kind}>, tfs array<int>, lens array<int>")
 
 
 def _append(docs: DataFrame, path: str, head: Head) -> Head:

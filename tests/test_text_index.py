@@ -5,7 +5,9 @@ import io
 import math
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from quillgraph.operators import text_index as TI
@@ -108,3 +110,28 @@ def test_empty_tables(spark):
     where = table_path(spark)
     TI.build(_frame(spark, {1: None, 2: ""}), where)
     assert TI.top_k(spark, where, ["a"], 3).count() == 0 and TI.opened(spark, where).docs == 2
+
+
+@pytest.mark.parametrize("docs, most", [(7, 10**6), (1000, 300)])
+def test_segments_hold_every_posting(docs, most):
+    texts = {f"d{i}": t for i, t in _texts(100).items()}
+    rows = pa.table({"id": list(texts), "text": [t and t.lower() for t in texts.values()]})
+    found = pa.Table.from_batches(TI._segments(iter(rows.to_batches(max_chunksize=30)), 5 << 24, docs, most)).to_pylist()
+    words = {i: re.findall("[a-z]+", (t or "").lower()) for i, t in texts.items()}
+    got = [(r["term"], i, tf, n) for r in found for i, tf, n in zip(r["ids"], r["tfs"], r["lens"], strict=True)]
+    assert sorted(got) == sorted((t, i, w.count(t), len(w)) for i, w in words.items() for t in set(w))
+    assert all((r["n"], r["most"], r["least"], r["words"]) == (len(r["ids"]), max(r["tfs"]), min(r["lens"]), sum(r["tfs"])) and r["n"] <= docs for r in found)
+    segments = sorted({r["segment"] for r in found})
+    assert segments == list(range(5 << 24, (5 << 24) + len(segments))) and len(segments) > 5
+
+
+def test_a_posting_takes_few_bytes():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    rows = pa.table({"id": range(1000), "text": [" ".join(rng.choices(words, k=300)) for _ in range(1000)]})
+    tracemalloc.start()
+    n = sum(b.num_rows for b in TI._segments(iter(rows.to_batches()), 0, 2000, 10**6))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len({w for t in rows["text"].to_pylist() for w in t.split()})
+    assert peak < 300_000 * 60  # beside what Arrow holds
