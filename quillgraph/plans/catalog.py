@@ -215,7 +215,9 @@ def upsert_first_writer(spark, sf_dir):
     # lines with the same numbers were written in the order in which they stand in the table
     place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
     rows = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_shipdate").alias("first_seen"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"), "l_orderkey", "l_linenumber", *place)
-    return G.first_written(rows, "entity", F.struct("l_orderkey", "l_linenumber", "file", "place"), "first_seen", "flag")
+    # numbers that are null come last, as they do in SQL
+    order = [x for c in ("l_orderkey", "l_linenumber") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    return G.first_written(rows, "entity", F.struct(*order, "file", "place"), "first_seen", "flag")
 
 
 @query(

@@ -88,6 +88,18 @@ def test_first_of_equal_writers_is_the_first_line(spark, tmp_path):
     assert sorted(rows(spark, str(tmp_path), "upsert_first_writer")) == sorted(con.sql(catalog.ORACLE_SQL["upsert_first_writer"]).fetchall())
 
 
+def test_first_writer_with_null_numbers(spark, tmp_path):
+    import duckdb
+
+    null = lambda k, n, x: None if k % n == 0 else x
+    lines = [(null(k, 50, k % 7), null(k, 3, 90 - k), null(k, 4, k % 5), null(k, 9, f"2020-01-{k % 28 + 1:02d}"), null(k, 11, "NRA"[k % 3])) for k in range(90)]
+    df = spark.createDataFrame(lines, "l_partkey long, l_orderkey long, l_linenumber int, l_shipdate string, l_returnflag string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(rows(spark, str(tmp_path), "upsert_first_writer"), key=str) == sorted(con.sql(catalog.ORACLE_SQL["upsert_first_writer"]).fetchall(), key=str)
+
+
 def test_concise_answers_of_odd_texts(spark, tmp_path):
     import duckdb
 
